@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
 from .mixing import op9_mixing
+from .pieces import op4_sentencepiece
+from .quality_model import op1_quality_classifier
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sharding import op7_sharding
+from .topk import OP10_SQL, op10_topk
+from .warc import op6_warc_derivatives
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_sharding": op7_sharding,
     "op9_mixing": op9_mixing,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL = {
     "op3_chat_formatting": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op10_topk": OP10_SQL,
 }
