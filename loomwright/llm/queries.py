@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
 from .mixing import op9_mixing
+from .near_dup import op2_near_duplicates, oracle_sql as op2_sql
 from .pieces import op4_sentencepiece
 from .quality_model import op1_quality_classifier
 from .quality_rules import OP5_SQL, op5_quality_rules
@@ -13,6 +14,7 @@ from .warc import op6_warc_derivatives
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_near_duplicates": op2_sql(),
     "op3_chat_formatting": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
     "op10_topk": OP10_SQL,
