@@ -32,15 +32,23 @@ def n_words_of(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_RUN))).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark) -> str:
+    """The cluster's shared checkpoint folder, from the session (spark.checkpoint.dir).
 
-    The folder is the session's (spark.checkpoint.dir). Only where none is set, as in unit tests on
-    one machine, a temporary one is made. Spark's cleaner removes the files once no plan reads them.
+    Only where none is set, as in unit tests on one machine, a temporary one is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and cut its lineage.
+
+    Files of a checkpoint outlive executors; Spark's cleaner removes them once no plan reads them.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -53,7 +53,7 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], n
     pairs across their groups, so no link between groups is lost, whatever the lists look like.
     """
     side = lambda p: [F.col("id").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in attributes]]
-    member = F.struct(F.col("weight"), (-F.col("id")).alias("back"), *[F.col(c) for c in attributes])
+    member = F.struct(F.col("weight"), F.bitwise_not("id").alias("back"), *[F.col(c) for c in attributes])
     edges, group, open_ = None, None, postings
 
     def add(pairs: DataFrame) -> None:
@@ -73,15 +73,15 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], n
         if not turn:
             hubs = open_.groupBy("key").agg(F.max(member).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
             mine = open_.select("key", *side("b"))
-            met = mine.join(hubs, "key").select("key", *[F.col(x) for x in mine.columns if x != "key"], (-F.col("h.back")).alias("aid"), *[F.col(f"h.{c}").alias(f"a{c}") for c in attributes])
+            met = mine.join(hubs, "key").select("key", *[F.col(x) for x in mine.columns if x != "key"], F.bitwise_not("h.back").alias("aid"), *[F.col(f"h.{c}").alias(f"a{c}") for c in attributes])
             add(met.where(F.col("aid") != F.col("bid")).where(near("a", "b")))
         else:
             # The weightiest member outside the first hub's group meets all that are outside its own.
-            lead = open_.groupBy("key").agg(F.max_by("g", F.struct("weight", -F.col("id"))).alias("lead"))
+            lead = open_.groupBy("key").agg(F.max_by("g", F.struct("weight", F.bitwise_not("id"))).alias("lead"))
             rest = open_.join(lead, "key").where("g <> lead")
-            hubs = rest.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("back"), "g", *[F.col(c) for c in attributes])).alias("h"))
+            hubs = rest.groupBy("key").agg(F.max(F.struct(F.col("weight"), F.bitwise_not("id").alias("back"), "g", *[F.col(c) for c in attributes])).alias("h"))
             mine = open_.select("key", F.col("g").alias("bg"), *side("b"))
-            met = mine.join(hubs, "key").where(F.col("h.g") != F.col("bg")).select(*[F.col(x) for x in mine.columns if x != "key"], (-F.col("h.back")).alias("aid"), *[F.col(f"h.{c}").alias(f"a{c}") for c in attributes])
+            met = mine.join(hubs, "key").where(F.col("h.g") != F.col("bg")).select(*[F.col(x) for x in mine.columns if x != "key"], F.bitwise_not("h.back").alias("aid"), *[F.col(f"h.{c}").alias(f"a{c}") for c in attributes])
             add(met.where(near("a", "b")))
         open_ = still_open()
         if open_.isEmpty():

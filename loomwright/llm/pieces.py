@@ -117,24 +117,7 @@ def _runs(texts) -> Iterator[list[str]]:
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids array<int> (end id last), n_tokens for docs(doc_id, text)."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long"
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        s = segmenter(model)
-        for b in batches:
-            flat, counts = [], []
-            for texts in _runs(b.column("text")):
-                for ids, n, _ in s.encode_decode(texts):
-                    flat.append(np.array(ids.split(" "), dtype=np.int32))
-                    counts.append(n)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
-            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(counts, pa.int64())], ["doc_id", "ids", "n_tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return digests(docs, model, with_ids=True).select("doc_id", "ids", "n_tokens")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -152,25 +135,34 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, model: str) -> DataFrame:
+def digests(docs: DataFrame, model: str, *, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass.
 
-    Ids and decoded texts stay in the task, so the result is a narrow row for each document.
+    Without with_ids, ids and decoded texts stay in the task and a document costs a narrow row.
     """
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         s, sha = segmenter(model), lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
-            n, ids, texts = [], [], []
+            at = 0
             for part in _runs(b.column("text")):
+                n, ids, texts, flat = [], [], [], []
                 for i, k, t in s.encode_decode(part):
                     n.append(k)
                     ids.append(sha(i))
                     texts.append(sha(t))
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        flat.append(np.array(i.split(" "), dtype=np.int32))
+                columns = {"doc_id": b.column("doc_id").slice(at, len(part)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(texts, pa.string())}
+                at += len(part)
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
+                yield pa.record_batch(list(columns.values()), list(columns))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
+from .line_dedup import op8_line_dedup
 from .mixing import op9_mixing
 from .near_dup import op2_near_duplicates, oracle_sql as op2_sql
 from .pieces import op4_sentencepiece
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
 }
