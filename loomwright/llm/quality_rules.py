@@ -76,6 +76,9 @@ def document_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text
         lambda a: a["n"],
     )
     out = base.withColumn("n_repeat_words", F.when(F.col("_qr_sorted").isNull(), F.lit(0)).otherwise(covered).cast("long")).drop("_qr_sorted")
+    # A generator of one row is where filters on the results stop: pushed further down, they would
+    # repeat the whole chain of array expressions for each mention of a column.
+    out = out.select(*keep, F.inline(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -117,9 +120,12 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     columns = docs.columns
     hosts = cut(host_verdicts(document_rules(docs, rules, keep=("source",)), rules))
     rejected = hosts.where("host_rejected").select(F.col("source").alias("_qr_host"))
-    judged = document_rules(docs.withColumn("_qr_row", F.struct(*[F.col(f"`{c}`") for c in columns])), rules, keep=("_qr_row",)).where(~F.col("base_failed"))
-    out = judged.join(rejected, F.col("_qr_row")["source"] == F.col("_qr_host"), "left_anti")
-    return out.select(*[F.col("_qr_row")[c].alias(c) for c in columns])
+    # Names of the rule columns may clash with the documents' own, so these travel under others.
+    own = [f"_qr_c{i}" for i in range(len(columns))]
+    renamed = docs.toDF(*own)
+    judged = document_rules(renamed, rules, text=own[columns.index("text")], keep=tuple(own)).where(~F.col("base_failed"))
+    out = judged.join(rejected, judged[own[columns.index("source")]] == F.col("_qr_host"), "left_anti")
+    return out.select(*own).toDF(*columns)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
