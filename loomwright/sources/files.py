@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,27 @@ from ..functions.constants import SKIP_FOLDERS, WINDOW_CHARS, WINDOW_LINES, WIND
 WINDOW_SCHEMA = "file_path string, symbol string, kind string, start_line int, end_line int, content string, enriched_text string, signature string, n_lines int"
 
 
+def _empty_files(spark, root: str, glob: str) -> list[str]:
+    """Paths of files without content: Spark's sources give them no row, yet an empty __init__.py makes a package."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    entries, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while entries.hasNext():
+        status = entries.next()
+        if not status.getLen() and fnmatch(status.getPath().getName(), glob):
+            out.append(status.getPath().toString())
+    return out
+
+
 def scan(spark, root: str, *, glob: str = "*") -> DataFrame:
     """file_path (below root), size, content of all files outside skipped folders."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     base = root.rstrip("/")
-    raw = reader.load(base).select(F.regexp_replace("path", r"^[A-Za-z]+:/*", "/").alias("path"), F.col("length").alias("size"), "content")
+    loaded = reader.load(base)
+    bare = F.regexp_replace("path", r"^[A-Za-z]+:/*", "/").alias("path")
+    raw = loaded.select(bare, F.col("length").alias("size"), "content")
+    listed = spark.createDataFrame([(p,) for p in _empty_files(spark, base, glob)], "path string").select(bare)
+    empty = listed.select("path", F.lit(0).cast("long").alias("size"), F.lit(b"").alias("content"))
+    raw = raw.unionByName(empty)
     prefix = "/" + base.split(":", 1)[-1].strip("/") + "/"
     rel = F.expr(f"substring(path, instr(path, '{prefix}') + {len(prefix)})") if "'" not in prefix else F.col("path")
     folders = F.slice(F.split(rel, "/"), 1, F.size(F.split(rel, "/")) - 1)
