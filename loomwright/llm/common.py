@@ -55,3 +55,22 @@ def cut(df: DataFrame) -> DataFrame:
 def unit_hash(*columns: Column) -> Column:
     """Deterministic draw in (0, 1) from the columns."""
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+
+
+#: Bits of the filter that `likely_in` sends to all tasks: 8 MB whatever it is built from.
+FILTER_BITS = 1 << 26
+
+
+def likely_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows whose key may be among the wanted keys: all that are, and a few more.
+
+    A bitmap of FILTER_BITS bits, one for each wanted key's hash, goes to every task, so that rows a
+    join would drop anyway need not be shuffled. Its size is fixed; once more keys are wanted than it
+    has bits it merely lets more rows through. The exact join has to follow.
+    """
+    at = lambda k: F.pmod(F.xxhash64(F.lit("filter"), k), F.lit(FILTER_BITS))
+    bits = wanted.select(at(wanted_key).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    hashed = rows.withColumn("_at", at(key)).withColumn("_b", F.bitmap_bucket_number("_at"))
+    joined = hashed.join(F.broadcast(bits), F.col("_b") == F.col("_bucket"))
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return joined.where(F.expr(f"shiftright({byte}, cast(bitmap_bit_position(_at) % 8 as int)) & 1 = 1")).select(*rows.columns)

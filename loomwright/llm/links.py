@@ -17,30 +17,26 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of edges(a, b); component is the smallest id reachable.
 
-    Each round hooks every node to its smallest neighbour, follows the hooks to their roots by
-    pointer doubling and contracts the edges to the roots; at least half of the nodes that still
-    have edges vanish in a round. Minima are combined before the shuffle, so hubs cost no more.
+    Each round gives every node, and the node it points to, the smallest pointer among its
+    neighbours, then follows pointers of pointers; chains shrink by half or more in a round, so rounds
+    grow with the logarithm of the longest path. A round is one job and one look whether anything
+    changed. Minima are combined before the shuffle, so hubs cost no more.
     """
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")))
-    while not edges.isEmpty():
-        hook = cut(both(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("p")))
-        while True:  # roots point to themselves
-            up = hook.select(F.col("n").alias("p"), F.col("p").alias("q"))
-            hook = cut(hook.join(up, "p").select("n", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
-            if hook.where("moved").isEmpty():
-                break
-            hook = hook.drop("moved")
-        roots = hook.select("n", F.col("p").alias("root"))
-        found = cut(found.join(roots, found["component"] == roots["n"], "left").select("id", F.coalesce("root", "component").alias("component")))
-        ends = edges.join(roots, edges["a"] == roots["n"]).select(F.col("root").alias("ra"), "b")
-        ends = ends.join(roots, ends["b"] == roots["n"]).select(F.col("ra").alias("a"), F.col("root").alias("b"))
-        edges = cut(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return found
+    one = edges.where("a <> b")
+    both = cut(one.select("a", "b").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    f = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("f")))
+    while True:
+        near = both.join(f.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b").groupBy(F.col("a").alias("id")).agg(F.min("fb").alias("m"))
+        seen = f.join(near, "id").select("id", "f", F.least("f", "m").alias("low"))
+        told = seen.select("id", "low", F.col("f").alias("old")).unionByName(seen.select(F.col("f").alias("id"), "low", F.lit(None).cast("long").alias("old")))
+        next_f = told.groupBy("id").agg(F.min("low").alias("p"), F.max("old").alias("old"))
+        jump = next_f.join(next_f.select(F.col("id").alias("p"), F.col("p").alias("pp")), "p")
+        f = cut(jump.select("id", F.col("pp").alias("f"), (F.col("pp") != F.col("old")).alias("moved")))
+        if f.where("moved").isEmpty():
+            return f.select("id", F.col("f").alias("component"))
 
 
-def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], attributes: list[str], *, hub_rounds: int = 2) -> DataFrame:
+def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], attributes: list[str], *, hub_rounds: int = 2, refine: Callable[[DataFrame], DataFrame] | None = None, near_refined: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Components of the graph of all verified pairs that share a key: (id, component).
 
     postings: key, id, weight and the attributes that `near(prefix_a, prefix_b)` reads, a cheap
@@ -50,7 +46,10 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], n
     A list of n members isn't expanded into n^2 pairs. First each list's weightiest member, its hub,
     meets the others; members it links with need no further pair among themselves, as they are in
     one group already. After some rounds of hubs, lists that still hold several groups get all
-    pairs across their groups, so no link between groups is lost, whatever the lists look like.
+    pairs across their groups that pass the condition, so no link between groups is lost.
+    For that step, refine(pairs of id and hub) may give further attributes of an id as seen from a
+    list's hub (leaving out ids that can link with no other), and near_refined a sharper necessary
+    condition on them, which the join itself applies.
     """
     side = lambda p: [F.col("id").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in attributes]]
     member = F.struct(F.col("weight"), F.bitwise_not("id").alias("back"), *[F.col(c) for c in attributes])
@@ -86,6 +85,13 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], n
         open_ = still_open()
         if open_.isEmpty():
             return group
+    if refine is not None:
+        # Lists of one hub are taken as one: a row for each id and hub instead of one for each key.
+        hubs = open_.groupBy("key").agg(F.max_by("id", F.struct("weight", F.bitwise_not("id"))).alias("hub"))
+        seen = cut(open_.join(hubs, "key").select("id", "hub", "g", *attributes).distinct())
+        finer = refine(seen.select("id", "hub"))
+        attributes, near = [*attributes, *[c for c in finer.columns if c not in ("id", "hub")]], near_refined or near
+        open_ = cut(seen.join(finer, ["id", "hub"]).withColumnRenamed("hub", "key"))
     left, right = open_.select("key", F.col("g").alias("ag"), *side("a")), open_.select("key", F.col("g").alias("bg"), *side("b"))
-    add(left.join(right, "key").where((F.col("ag") != F.col("bg")) & (F.col("aid") < F.col("bid"))).where(near("a", "b")))
+    add(left.join(right, "key").where((F.col("ag") != F.col("bg")) & (F.col("aid") < F.col("bid")) & near("a", "b")))
     return group

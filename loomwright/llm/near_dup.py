@@ -8,7 +8,8 @@ order for all, here by list length. So common passages make no long lists of unl
 Overlapping sets pass on if the sketch of their union estimates enough resemblance, with a margin
 of over five standard errors, and are then compared on their full shingle sets.
 
-The full sets are taken of candidates only. Pairs never come from whole lists (see links.py).
+Full sets are made of documents that an estimate let pass, for each round of pairs anew, so only
+those texts move. Pairs never come from whole lists (see links.py).
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; fewer words than
 a shingle has make one shingle of the whole sequence. Repeated rows are one document; rows of one
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, likely_in, read_table
 from .links import link_groups
 
 #: Odd multipliers of the shingle hash.
@@ -140,10 +141,12 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     lists = cut(_lists(sets, like))
     several = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     lists = cut(lists.join(several, "key"))
-    wanted = lists.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
     known = sets.select(F.col("rep").alias("id"), "sketch")
-    whole = cut(full_sets(texts, like))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Full sets of some documents; the texts of others are left where they are."""
+        texts = likely_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), F.col("id"), ids, F.col("id"))
+        return cut(full_sets(texts.join(ids, "id"), like))
 
     def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         a, b = (table.select(F.col("id").alias(s), F.col(column).alias(f"{column}_{s}")) for s in ("a", "b"))
@@ -155,16 +158,39 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         matches = F.size(F.array_intersect(F.col("union"), F.array_intersect("sketch_a", "sketch_b")))
         # Where both sketches are whole sets smaller than k the estimate is exact; the margin only widens it.
         passed = met.withColumn("union", union).where(matches * like.k >= like.shared * F.size("union")).select("a", "b")
-        sure = both(passed, whole, "shingles")
+        passed = cut(passed)
+        sure = both(passed, sets_of(passed.select(F.col("a").alias("id")).union(passed.select("b")).distinct()), "shingles")
         common = F.size(F.array_intersect("shingles_a", "shingles_b"))
         total = F.size("shingles_a") + F.size("shingles_b")
-        return sure.withColumn("common", common).where(100 * F.col("common") >= like.percent * (total - F.col("common"))).select("a", "b")
+        return sure.where((100 + like.percent) * common >= like.percent * total).select("a", "b")
 
     def near(a: str, b: str):
         x, y = F.col(f"{a}n"), F.col(f"{b}n")
         return 100 * F.least(x, y) >= like.percent * F.greatest(x, y)
 
-    groups = link_groups(lists, verify, near, ["n"])
+    def refine(seen: DataFrame) -> DataFrame:
+        """inside: shingles of a set that its hub has too; outside: those that it lacks.
+
+        Shingles that no other of these sets holds are in no overlap and left out, and so are sets
+        that have too few others to be linked. An overlap is at most the smaller `inside` and what
+        both have outside.
+        """
+        whole = sets_of(cut(seen.select("id").union(seen.select("hub")).distinct()))
+        values = whole.select("id", F.explode("shingles").alias("v"))
+        several = values.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("v")
+        held = values.join(several, "v", "left_semi").groupBy("id").agg(F.collect_list("v").alias("held"))
+        sized = lists.groupBy("id").agg(F.first("n").alias("n"))
+        held = held.join(sized, "id").where(100 * F.size("held") >= like.percent * F.col("n")).select("id", "held")
+        met = seen.join(held, "id").join(whole.select(F.col("id").alias("hub"), "shingles"), "hub")
+        return met.select("id", "hub", F.size(F.array_intersect("held", "shingles")).alias("inside"), F.array_except("held", "shingles").alias("outside"))
+
+    def near_refined(a: str, b: str):
+        enough = lambda common: (100 + like.percent) * common >= like.percent * (F.col(f"{a}n") + F.col(f"{b}n"))
+        inside = F.least(F.col(f"{a}inside"), F.col(f"{b}inside"))
+        most = F.least(F.size(f"{a}outside"), F.size(f"{b}outside"))
+        return near(a, b) & enough(inside + most) & enough(inside + F.size(F.array_intersect(f"{a}outside", f"{b}outside")))
+
+    groups = link_groups(lists, verify, near, ["n"], refine=refine, near_refined=near_refined)
     named = sets.join(groups, sets["rep"] == groups["id"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     named = cut(named)
     out = full.join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
