@@ -47,8 +47,7 @@ def keywords(text: Column, limit: int = 12) -> Column:
     """First spellings of distinct tokens of three characters or more, case ignored."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
     lowered = lower_all(tokens)
-    first = F.filter(tokens, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
-    return F.slice(first, 1, limit)
+    return F.transform(F.slice(F.array_distinct(lowered), 1, limit), lambda k: F.element_at(tokens, F.array_position(lowered, k).cast("int")))
 
 
 def looks_lexical(query: Column) -> Column:

@@ -34,7 +34,7 @@ _CLEAN = "array_to_string(list_filter(" + _TOKENS + f", lambda t: NOT list_conta
 _SPLIT = r"regexp_replace(regexp_replace(regexp_replace({}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[._]+', ' ', 'g')"
 _CHUNKS = """chunks AS (SELECT doc_id AS chunk_id, lang AS kind, source || '/' || doc_id || '.txt' AS file_path, source || '.TextUnit_' || doc_id AS symbol,
   text AS content, source FROM documents)"""
-_QUESTIONS = "questions AS (SELECT e.vec_id AS query_id, e.embedding AS q, left(d.text, 60) AS query FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 50 = 0)"
+_QUESTIONS = "questions AS (SELECT e.vec_id AS query_id, e.embedding AS q, d.text AS query FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 50 = 0)"
 _DOUBLES = "list_transform({}, lambda x: CAST(x AS DOUBLE))"
 _DENSE = f"""dense AS (SELECT query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, distance FROM (
   SELECT query_id, vec_id, round(list_cosine_distance({_DOUBLES.format('q')}, {_DOUBLES.format('e.embedding')}), 9) AS distance FROM questions, embeddings e))"""
@@ -421,11 +421,13 @@ def page_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.when(F.col("url").endswith("/"), "folder").otherwise("file").alias("kind"), F.sha2("url", 256).alias("key"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, (length(text) + 3) // 4) END AS tokens, array_to_string(list_distinct_first, ' ') AS words FROM (SELECT doc_id, text, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')[1:40], lambda t, i: list_position(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}')[1:40], lambda u: lower(u)), lower(t)) = i)[1:12] AS list_distinct_first FROM documents)")
+@query("""WITH t AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}') AS w FROM documents)),
+f AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM t GROUP BY doc_id, lower(w)),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f) WHERE r <= 12 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, (length(text) + 3) // 4) END AS tokens, coalesce(words, '') AS words FROM documents LEFT JOIN k USING (doc_id)""")
 def keyword_heads(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), 1, 40), " ")
-    return d.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), F.array_join(text.keywords(head), " ").alias("words"))
+    return d.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), F.array_join(text.keywords(F.col("text")), " ").alias("words"))
 
 
 @query("SELECT doc_id, source || '/' || doc_id || '.txt' AS path, 1 AS s, length(text) - length(replace(text, chr(10), '')) + 1 AS e FROM documents")
@@ -470,7 +472,7 @@ def capability_plan(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     share = lambda k: F.round(F.pmod(F.xxhash64("conv_id", "turn", F.lit(k)), F.lit(10)) / 10.0, 1)
     weights = F.create_map(*[x for k in ("understand", "change", "evaluate", "locate", "compare") for x in (F.lit(k), share(k))])
-    profiles = c.select("conv_id", "turn", F.col("text").alias("raw_text"), weights.alias("modality_weights"), F.slice(text.keywords(F.left("text", F.lit(200))), 1, 2).alias("focus_keywords"), F.lit("unspecified").alias("output_shape_preference"))
+    profiles = c.select("conv_id", "turn", F.col("text").alias("raw_text"), weights.alias("modality_weights"), text.keywords(F.col("text"), 2).alias("focus_keywords"), F.lit("unspecified").alias("output_shape_preference"))
     return contribute.plan(profiles).select("conv_id", "turn", F.array_join("active", ",").alias("active"), "output_shape", "cartographer_tilt", "lane_b_framing")
 
 

@@ -19,9 +19,9 @@ def document_chunks(spark, sf_dir: str) -> DataFrame:
 
 
 def questions(spark, sf_dir: str) -> DataFrame:
-    """One question for each embedding of an id divisible by 50: the first words of that document."""
+    """One question for each embedding of an id divisible by 50: the text of that document."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
-    return e.join(d, e["vec_id"] == d["doc_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.left("text", F.lit(60)).alias("query"))
+    return e.join(d, e["vec_id"] == d["doc_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("text").alias("query"))
 
 
 def trade_edges(spark, sf_dir: str) -> DataFrame:
