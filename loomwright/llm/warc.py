@@ -120,7 +120,8 @@ def _derived(key, rid, uri, date, headers, payload) -> list[tuple]:
     source = digest(raw)
     title, lang = _TITLE.search(page), _LANG.search(page)
     fields = [(f"source-header-{x['name']}", x["value"] or "") for x in headers or ()] + [("source-payload-digest", source)]
-    fields += [("title", html.unescape(title[1]))] * bool(title) + ([("language", lang[1])] if lang else [])
+    fields += [("title", html.unescape(title[1]))] if title else []
+    fields += [("language", lang[1])] if lang else []
     fields += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(page)]
     metadata = "".join(f"{n}: {_one_line(v)}\r\n" for n, v in fields)
     out = []
