@@ -33,7 +33,7 @@ CRLF = b"\r\n"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 RECORD = "page_key string, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers array<struct<name:string,value:string>>, block string, block_digest string, payload_digest string, block_bytes long"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"<(?:br|hr|/?(?:p|div|section|article|header|footer|nav|main|aside|ul|ol|li|dl|dt|dd|table|tr|h[1-6]|blockquote|pre|form|figure))\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _BLANK, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[\s]*")
@@ -47,7 +47,7 @@ def digest(data: bytes) -> str:
 
 
 def plain_text(page: str) -> str:
-    """Text of a page: no markup, scripts or head; blocks on lines of their own; entities resolved."""
+    """Text of a page: no markup, scripts or title; blocks on lines of their own; entities resolved."""
     text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub("", page)))
     return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
 
