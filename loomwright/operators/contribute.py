@@ -65,14 +65,13 @@ def triage(issues: DataFrame, metrics: DataFrame, focus: list[str] | None = None
 
     issues: repo_id, number, title, body, labels, referenced_files; metrics: repo_id, ordinal, symbol,
     fan_in, cyclomatic, has_tests. An issue takes the first symbol that its body or a referenced path
-    spells; symbols and issues meet by repository, and a symbol's last word must occur in the text.
+    spells anywhere, so issues and symbols of one repository meet by an equi join and a substring test.
     """
     listed = F.array_join("referenced_files", " ")
     if focus:
         hay = F.concat_ws(" ", "title", "body", F.array_join("labels", " "), listed)
         issues = issues.where(text.contains_any(hay, F.array(*map(F.lit, focus))))
     spelt = issues.select(key, "number", "title", F.concat_ws("\n", "body", F.array_join("referenced_files", "\n")).alias("hay"))
-    # A text spells a symbol only if the symbol's longest identifier stands inside one of its words.
     found = spelt.join(metrics, key, "left").where(F.col("symbol").isNull() | F.contains("hay", F.col("symbol")))
     first = found.where("symbol IS NOT NULL").groupBy(key, "number").agg(F.min_by(F.struct("symbol", "fan_in", "cyclomatic", "has_tests"), "ordinal").alias("m"))
     scored = spelt.select(key, "number", "title").join(first, [key, "number"], "left")
