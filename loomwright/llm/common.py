@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark) -> None:
+    """Lets Spark's cleaner drop the shuffle and checkpoint files of tables that nothing refers to any more.
+
+    They go when the driver's garbage is collected; iterative operators make many before it is.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unit_hash(*columns: Column) -> Column:
     """Deterministic draw in (0, 1) from the columns."""
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,6 +61,7 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], n
         found = cut(verify(pairs))
         edges = found if edges is None else cut(edges.unionByName(found))
         group = components(edges)
+        release(edges.sparkSession)
 
     def still_open() -> DataFrame:
         """Postings, with their group, of lists that hold several groups."""

@@ -21,6 +21,8 @@ from .common import SPACES, cut, read_table, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Rejected hosts that may be broadcast.
+FEW_HOSTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -91,6 +93,7 @@ def host_verdicts(judged: DataFrame, rules: Rules = Rules(), *, host: str = "sou
     driver. Without such spread, every host shrinks to the corpus rate.
     """
     hosts = judged.where(F.col(host).isNotNull()).groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
+    hosts = cut(hosts)  # read twice: for the prior and for the rates
     rate = F.col("host_failed") / F.col("host_docs")
     s = hosts.agg(
         F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.count(F.lit(1)).alias("h"),
@@ -118,14 +121,18 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     Texts are judged where they lie; only the host table (a row per host) is joined to them.
     """
     columns = docs.columns
-    hosts = cut(host_verdicts(document_rules(docs, rules, keep=("source",)), rules))
+    hosts = host_verdicts(document_rules(docs, rules, keep=("source",)), rules)
     rejected = hosts.where("host_rejected").select(F.col("source").alias("_qr_host"))
     # Names of the rule columns may clash with the documents' own, so these travel under others.
     own = [f"_qr_c{i}" for i in range(len(columns))]
     renamed = docs.toDF(*own)
     judged = document_rules(renamed, rules, text=own[columns.index("text")], keep=tuple(own)).where(~F.col("base_failed"))
-    out = judged.join(rejected, judged[own[columns.index("source")]] == F.col("_qr_host"), "left_anti")
-    return out.select(*own).toDF(*columns)
+    some = rejected.limit(FEW_HOSTS + 1).count()
+    if some:
+        # Few hosts are sent to the texts; only more of them than that make the texts move.
+        rejected = F.broadcast(rejected) if some <= FEW_HOSTS else rejected
+        judged = judged.join(rejected, judged[own[columns.index("source")]] == F.col("_qr_host"), "left_anti")
+    return judged.select(*own).toDF(*columns)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
