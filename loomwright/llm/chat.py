@@ -13,7 +13,7 @@ points of the assistant texts, escaped as they stand in the output.
 
 Defined cases: a null text or role is an empty string. A parent that is absent from its tree makes
 a root. Messages whose ancestors form a cycle reach no root and are on no path. Null scores count
-as 0. Repeated rows stay, ordered by role and text within their turn; a null turn comes first. Rows
+as 0. Texts of any length are formatted whole. Other columns are ignored, whatever their names. Repeated rows stay, ordered by role and text within their turn; a null turn comes first. Rows
 with a null conv_id form one conversation. An empty table gives an empty result.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import Scratch, read_table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Opener, backslashes so far, rest: `<|`, `<s>`, `</s>`, `<<SYS>>`, `<</SYS>>`, `[INST]`, `[/INST]`.
@@ -62,19 +62,19 @@ def root_paths(nodes: DataFrame) -> DataFrame:
     """
     # A null tree is a tree too: a flag beside the key makes plain equality hold for it.
     keyed = nodes.select(F.coalesce(F.col("tree_id").cast("string"), F.lit("")).alias("t"), F.col("tree_id").isNull().alias("tn"), "node_id", "parent_id")
-    tree = ["t", "tn"]
+    tree, work = ["t", "tn"], Scratch(nodes.sparkSession)
     parents = keyed.select(*tree, F.col("node_id").alias("p"))
-    links = cut(keyed.where("parent_id is not null").join(parents.withColumnRenamed("p", "parent_id"), [*tree, "parent_id"], "left_semi").select(*tree, F.col("node_id").alias("n"), F.col("parent_id").alias("a")))
+    links = work.cut(keyed.where("parent_id is not null").join(parents.withColumnRenamed("p", "parent_id"), [*tree, "parent_id"], "left_semi").select(*tree, F.col("node_id").alias("n"), F.col("parent_id").alias("a")))
     leaves = keyed.join(links.select(*tree, F.col("a").alias("node_id")).distinct(), [*tree, "node_id"], "left_anti")
-    pairs = cut(leaves.select(*tree, F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up")))
+    pairs = work.cut(leaves.select(*tree, F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up")))
     jump, reach = links, 1
     for _ in range(64):
         if jump.isEmpty():
             break
         further = pairs.join(jump.withColumnRenamed("n", "node_id"), [*tree, "node_id"]).select(*tree, "leaf", F.col("a").alias("node_id"), (F.col("up") + reach).alias("up"))
-        pairs = cut(pairs.unionByName(further))
+        pairs = work.cut(pairs.unionByName(further))
         onward = jump.select(*tree, F.col("n").alias("m"), F.col("a").alias("n"))
-        jump, reach = cut(onward.join(jump, [*tree, "n"]).select(*tree, F.col("m").alias("n"), "a")), reach * 2
+        jump, reach = work.cut(onward.join(jump, [*tree, "n"]).select(*tree, F.col("m").alias("n"), "a")), reach * 2
         if reach > 2**20 and jump.where("n = a").limit(1).count():
             break  # only cycles are this long
     rooted = pairs.join(links.select(*tree, F.col("n").alias("node_id")), [*tree, "node_id"], "left_anti").select(*tree, "leaf").distinct()
@@ -134,7 +134,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
+    probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     out = format_conversations(rows.unionByName(probe)).withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,25 +38,81 @@ def n_words_of(text: Column) -> Column:
 def shared_folder(spark) -> str:
     """The cluster's shared checkpoint folder, from the session (spark.checkpoint.dir).
 
-    Only where none is set, as in unit tests on one machine, a temporary one is made.
+    Where none is set a temporary one is made, but only if driver and executors are one local process;
+    on a cluster that would be a folder of each machine, so there it is an error.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage.
+def delete(spark, path: str) -> None:
+    """Removes a file or folder through Hadoop's file systems, so on any store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    Files of a checkpoint outlive executors; Spark's cleaner removes them once no plan reads them.
+
+class Scratch:
+    """Tables an operator writes to the shared folder and reads again: lineage ends there.
+
+    They are compressed Parquet, so they outlive executors, read back in few partitions however many
+    tasks wrote them, and have a known size, by which Spark chooses broadcasts itself. The operator
+    drops each once nothing reads it; what its result needs stays until the scope ends, or, outside any
+    `scope`, for good.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+
+    open_scopes: list[list[Scratch]] = []
+
+    def __init__(self, spark) -> None:
+        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", []
+        if self.open_scopes:
+            self.open_scopes[-1].append(self)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *gone: DataFrame) -> None:
+        for out, path in self.tables:
+            if any(out is x for x in gone):
+                delete(self.spark, path)
+        self.tables = [x for x in self.tables if not any(x[0] is y for y in gone)]
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """df as a table of its own; all other tables go."""
+        others = [out for out, _ in self.tables]
+        out = self.cut(df)
+        self.drop(*others)
+        return out
+
+    def clear(self) -> None:
+        delete(self.spark, self.folder)
+        self.tables = []
+
+
+@contextmanager
+def scope(spark):
+    """On leaving, deletes the tables of all operators called within. Write their results before that."""
+    made: list[Scratch] = []
+    Scratch.open_scopes.append(made)
+    try:
+        yield
+    finally:
+        Scratch.open_scopes.remove(made)
+        for x in made:
+            x.clear()
+        release(spark)
 
 
 def release(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle and checkpoint files of tables that nothing refers to any more.
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
 
     They go when the driver's garbage is collected; iterative operators make many before it is.
     """

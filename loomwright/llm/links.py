@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import Scratch, release
 
+#: Members of a list that meet in one task; longer lists are dealt into blocks of about so many.
+BLOCK = 1024
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, work: Scratch | None = None) -> DataFrame:
     """(id, component) for every end of edges(a, b); component is the smallest id reachable.
 
     Each round gives every node, and the node it points to, the smallest pointer among its
@@ -22,21 +25,31 @@ def components(edges: DataFrame) -> DataFrame:
     grow with the logarithm of the longest path. A round is one job and one look whether anything
     changed. Minima are combined before the shuffle, so hubs cost no more.
     """
+    work = work or Scratch(edges.sparkSession)
     one = edges.where("a <> b")
-    both = cut(one.select("a", "b").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    f = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("f")))
+    both = work.cut(one.select("a", "b").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    f = work.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("f")))
     while True:
         near = both.join(f.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b").groupBy(F.col("a").alias("id")).agg(F.min("fb").alias("m"))
         seen = f.join(near, "id").select("id", "f", F.least("f", "m").alias("low"))
-        told = seen.select("id", "low", F.col("f").alias("old")).unionByName(seen.select(F.col("f").alias("id"), "low", F.lit(None).cast("long").alias("old")))
-        next_f = told.groupBy("id").agg(F.min("low").alias("p"), F.max("old").alias("old"))
+        told = seen.select(F.inline(F.array(F.struct("id", "low", F.col("f").alias("old")), F.struct(F.col("f").alias("id"), "low", F.lit(None).cast("long").alias("old")))))
+        next_f = work.cut(told.groupBy("id").agg(F.min("low").alias("p"), F.max("old").alias("old")))
         jump = next_f.join(next_f.select(F.col("id").alias("p"), F.col("p").alias("pp")), "p")
-        f = cut(jump.select("id", F.col("pp").alias("f"), (F.col("pp") != F.col("old")).alias("moved")))
+        last, f = f, work.cut(jump.select("id", F.col("pp").alias("f"), (F.col("pp") != F.col("old")).alias("moved")))
+        work.drop(last, next_f)
         if f.where("moved").isEmpty():
+            work.drop(both)
             return f.select("id", F.col("f").alias("component"))
 
 
-def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], attributes: list[str], *, hub_rounds: int = 2, refine: Callable[[DataFrame], DataFrame] | None = None, near_refined: Callable[[str, str], Column] | None = None) -> DataFrame:
+def _in_blocks(members: DataFrame, side: str, block: int) -> DataFrame:
+    """members(key, id, .., b: blocks of the list) with lo and hi: the pairs of blocks a member is needed for."""
+    own = F.pmod(F.xxhash64(F.lit("block"), f"{side}id"), F.col("b")).cast("int")
+    out = members.withColumn(f"{side}own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    return out.withColumn("lo", F.least(f"{side}own", "other")).withColumn("hi", F.greatest(f"{side}own", "other")).drop("other", "b")
+
+
+def link_groups(work: Scratch, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], attributes: list[str], *, hub_rounds: int = 2, refine: Callable[[DataFrame], DataFrame] | None = None, near_refined: Callable[[str, str], Column] | None = None, block: int = BLOCK) -> DataFrame:
     """Components of the graph of all verified pairs that share a key: (id, component).
 
     postings: key, id, weight and the attributes that `near(prefix_a, prefix_b)` reads, a cheap
@@ -46,7 +59,8 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], n
     A list of n members isn't expanded into n^2 pairs. First each list's weightiest member, its hub,
     meets the others; members it links with need no further pair among themselves, as they are in
     one group already. After some rounds of hubs, lists that still hold several groups get all
-    pairs across their groups that pass the condition, so no link between groups is lost.
+    pairs across their groups that pass the condition, so no link between groups is lost. Lists longer
+    than `block` are dealt into blocks for that, and each pair of blocks is a task's work of its own.
     For that step, refine(pairs of id and hub) may give further attributes of an id as seen from a
     list's hub (leaving out ids that can link with no other), and near_refined a sharper necessary
     condition on them, which the join itself applies.
@@ -58,16 +72,18 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], n
     def add(pairs: DataFrame) -> None:
         nonlocal edges, group
         pairs = pairs.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
-        found = cut(verify(pairs))
-        edges = found if edges is None else cut(edges.unionByName(found))
-        group = components(edges)
+        older = [t for t, _ in work.tables if t is not edges and t is not group]
+        found = verify(pairs)
+        edges = work.cut(found if edges is None else edges.unionByName(found))
+        group = work.cut(components(edges, work))
+        work.drop(*[t for t, _ in work.tables if t is not edges and t is not group and not any(t is x for x in older)])
         release(edges.sparkSession)
 
     def still_open() -> DataFrame:
         """Postings, with their group, of lists that hold several groups."""
         named = postings.join(group.withColumnRenamed("component", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
         several = named.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("key")
-        return cut(named.join(several, "key"))
+        return work.cut(named.join(several, "key"))
 
     for turn in range(hub_rounds):
         if not turn:
@@ -83,16 +99,22 @@ def link_groups(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], n
             mine = open_.select("key", F.col("g").alias("bg"), *side("b"))
             met = mine.join(hubs, "key").where(F.col("h.g") != F.col("bg")).select(*[F.col(x) for x in mine.columns if x != "key"], F.bitwise_not("h.back").alias("aid"), *[F.col(f"h.{c}").alias(f"a{c}") for c in attributes])
             add(met.where(near("a", "b")))
-        open_ = still_open()
+        last, open_ = open_, still_open()
+        if turn:
+            work.drop(last)
         if open_.isEmpty():
             return group
     if refine is not None:
         # Lists of one hub are taken as one: a row for each id and hub instead of one for each key.
         hubs = open_.groupBy("key").agg(F.max_by("id", F.struct("weight", F.bitwise_not("id"))).alias("hub"))
-        seen = cut(open_.join(hubs, "key").select("id", "hub", "g", *attributes).distinct())
+        seen = work.cut(open_.join(hubs, "key").select("id", "hub", "g", *attributes).distinct())
         finer = refine(seen.select("id", "hub"))
         attributes, near = [*attributes, *[c for c in finer.columns if c not in ("id", "hub")]], near_refined or near
-        open_ = cut(seen.join(finer, ["id", "hub"]).withColumnRenamed("hub", "key"))
-    left, right = open_.select("key", F.col("g").alias("ag"), *side("a")), open_.select("key", F.col("g").alias("bg"), *side("b"))
-    add(left.join(right, "key").where((F.col("ag") != F.col("bg")) & (F.col("aid") < F.col("bid")) & near("a", "b")))
+        last, open_ = open_, work.cut(seen.join(finer, ["id", "hub"]).withColumnRenamed("hub", "key"))
+        work.drop(last, seen)
+    blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("b"))
+    open_ = open_.join(blocks, "key")
+    left, right = (_in_blocks(open_.select("key", "b", F.col("g").alias(f"{s}g"), *side(s)), s, block) for s in ("a", "b"))
+    once = (F.col("lo") == F.col("hi")) | (F.col("aown") != F.col("bown"))
+    add(left.join(right, ["key", "lo", "hi"]).where(once & (F.col("ag") != F.col("bg")) & (F.col("aid") < F.col("bid")) & near("a", "b")))
     return group

@@ -5,154 +5,176 @@ constraint sum(r * size) = target and 0 <= r <= cap. The dual is convex in one m
 source, and its solution is the exponential tilt r = min(cap, exp(lambda * size / mean size)).
 Newton steps, safeguarded by a bracket, run for all sources at once.
 
-A rate depends on source and size only, so documents first collapse to a table (source, size, n);
-each Newton step is one aggregation of that table and brings back a row for each source. Rounding
-into copies walks the same table from long to short documents and rounds running totals, so errors
-of neighbours cancel; what is left is spread over ever shorter documents in a few further rounds.
-A hot group (many documents of one source and size) is split into hash buckets first.
-
-Defined cases: null texts have size 0 and get no copies; a null source is a source of its own, the
-last in order. Equal rows are told apart by nothing and may get different copies; doc_id orders the
-rest, so reruns agree. Without words, all targets are 0. An empty table gives an empty result.
+A rate depends on source and size only, so documents first collapse to a table (source, size, n).
+Targets, multipliers and brackets are columns of a table with a row for each source; a Newton step
+joins the two tables, sums, and writes the next state. The driver sees single numbers, never a row a
+source. Rounding into copies walks the sizes from long to short and rounds running totals, so errors of
+neighbours cancel; what is left is spread over ever shorter documents in a few further rounds. Running
+totals come in two levels, within ranges of sizes and over the ranges, so no task holds a source. A hot
+group (many documents of one source and size) is split into hash buckets first. All sums that decide
+are of integers or decimals, so the order in which tasks finish changes nothing.
+
+Defined cases: null texts have size 0 and get no copies; texts of any length count whole; a null source
+is a source of its own, the last in order. Equal rows are told apart by nothing and may get different
+copies; doc_id orders the rest, so reruns agree. Without words, all targets are 0. An empty table gives
+an empty result. A multiplier that has not settled after `steps` is an error. Working columns of
+`mixed_documents` have reserved names (prefix `_mx_`).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, n_words_of, read_table, text_of
+from .common import Scratch, n_words_of, read_table, text_of
 
 CAP = 3
 #: Documents in a bucket of one source and size, roughly.
 BUCKET_ROWS = 5000
-STEPS = 60
+#: Sizes whose running totals one task makes.
+RANGE = 64
+STEPS = 200
 TOLERANCE = 1e-7
+#: Fractions of a copy are counted in these units.
+UNIT = 1 << 20
 
 
-def water_fill(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
-    """Targets that share all sizes by weight, none above cap times its size; excess is reshared."""
-    total, targets, open_ = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
-    left = total
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = {i for i in open_ if left * weights[i] / weight > cap * sizes[i]}
-        for i in full or open_:
-            targets[i] = float(cap * sizes[i]) if full else left * weights[i] / weight
-        if not full:
-            break
-        left -= sum(targets[i] for i in full)
-        open_ -= full
-    return targets
+def _same(a: str, b: str, *more: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")), *[F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in more]])
 
 
-def cyclic_targets(sources: list[tuple[str | None, int]], cap: float = CAP) -> dict[str | None, float]:
-    """Weights 1, 2, 3, repeating, over sources by code point, null last."""
-    order = sorted(sources, key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    filled = water_fill([n for _, n in order], [1.0 + i % 3 for i in range(len(order))], cap)
-    return {name: t for (name, _), t in zip(order, filled, strict=True)}
+def _exact(x: Column) -> Column:
+    """Sum of doubles that does not depend on their order."""
+    return F.sum(F.round(x * 65536).cast("decimal(38,0)")).cast("double") / 65536
 
 
-def solve_rates(groups: DataFrame, targets: dict, *, cap: float = CAP, steps: int = STEPS) -> dict:
-    """Newton on the dual, all sources in each step. Returns source -> (lambda, scale).
+def cyclic_weights(sizes: DataFrame, work: Scratch) -> DataFrame:
+    """sizes(source, ..) with weight 1, 2, 3, repeating, in code point order, null last.
 
-    groups: source, size, n with size > 0. The derivative counts only rates under the cap. A step
-    that leaves the bracket, or an undefined one, is replaced by its midpoint (or by doubling while
-    one end is open).
+    Sources are sorted by range; a place is the offset of its range and the place inside it.
     """
-    spark = groups.sparkSession
-    kind = groups.schema["source"].dataType
-    stats = {r["source"]: r for r in groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.sum("n").alias("n")).collect()}
-    state = {s: {"l": 0.0, "lo": None, "hi": None, "scale": float(r["tokens"]) / float(r["n"]), "t": min(targets.get(s, 0.0), cap * float(r["tokens"]))} for s, r in stats.items()}
-    open_ = {s for s, x in state.items() if 0 < x["t"] < cap * float(stats[s]["tokens"]) * (1 - 1e-12)}
-    for s, x in state.items():
-        if s not in open_:
-            x["l"] = float("inf") if x["t"] > 0 else float("-inf")
-    schema = T.StructType([T.StructField("s", kind), T.StructField("l", T.DoubleType()), T.StructField("scale", T.DoubleType())])
+    inside = F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    placed = work.cut(sizes.orderBy(F.col("source").isNull(), F.col("source").cast("string")).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - inside))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("offset"))
+    return placed.join(offsets, "part").select(*sizes.columns, ((F.col("at") + F.col("offset")) % 3 + 1).cast("double").alias("weight"))
+
+
+def water_fill(weighted: DataFrame, cap: float = CAP) -> DataFrame:
+    """weighted(source, tokens, weight, ..) with `target`: all tokens shared by weight, none above cap times its own; excess is reshared.
+
+    The level (tokens a unit of weight) only rises, so the sources that are full follow from it.
+    """
+    total, level = weighted.agg(F.sum("tokens")).first()[0] or 0, None
+    while True:
+        full = F.lit(False) if level is None else F.lit(level) * F.col("weight") > cap * F.col("tokens")
+        r = weighted.agg(F.sum(F.when(full, cap * F.col("tokens")).otherwise(0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open"), F.sum(full.cast("long")).alias("n")).first()
+        if not r["open"] or not total:
+            return weighted.withColumn("target", F.least((cap * F.col("tokens")).cast("double"), F.lit(float(total))))
+        risen = (total - r["held"]) / r["open"]
+        if risen == level:
+            return weighted.withColumn("target", F.least((cap * F.col("tokens")).cast("double"), F.lit(level) * F.col("weight")))
+        level = risen
+
+
+def solve_rates(groups: DataFrame, targets: DataFrame, work: Scratch, *, cap: float = CAP, steps: int = STEPS) -> DataFrame:
+    """source, l (multiplier), scale, by Newton on the dual for all sources of targets(source, tokens, docs, target).
+
+    groups: source, size, n with size > 0; docs are those of size > 0. The derivative counts only rates
+    under the cap. A step that leaves the bracket, or an undefined one, is replaced by its midpoint (or
+    by doubling while one end is open). Sources that want nothing get -inf, those that want all inf.
+    """
+    none, most = F.lit(None).cast("double"), cap * F.col("tokens").cast("double")
+    want = F.least(F.col("target"), most)
+    fixed = F.when(want <= 0, F.lit(float("-inf"))).when(want >= most * (1 - 1e-12), F.lit(float("inf")))
+    state = work.cut(targets.select("source", F.try_divide(F.col("tokens"), F.col("docs")).alias("scale"), want.alias("t"), F.coalesce(fixed, F.lit(0.0)).alias("l"), none.alias("lo"), none.alias("hi"), fixed.isNotNull().alias("settled")))
     for _ in range(steps):
-        if not open_:
-            break
-        now = spark.createDataFrame([(s, state[s]["l"], state[s]["scale"]) for s in open_], schema)
-        z = F.col("l") * F.col("size") / F.col("scale")
-        rate = F.least(F.lit(float(cap)), F.exp(z))
+        if state.where("not settled").isEmpty():
+            return state.select("source", "l", "scale")
+        met = groups.alias("g").join(state.where("not settled").alias("s"), _same("g", "s")).select("g.source", "g.size", "g.n", "s.l", "s.scale")
+        rate = F.least(F.lit(float(cap)), F.exp(F.col("l") * F.col("size") / F.col("scale")))
         tokens = F.col("n") * F.col("size") * rate
         slope = F.when(rate < cap, tokens * F.col("size") / F.col("scale")).otherwise(0.0)
-        sums = groups.join(now, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(F.sum(tokens).alias("g"), F.sum(slope).alias("d")).collect()
-        for r in sums:
-            x = state[r["source"]]
-            gap = r["g"] - x["t"]
-            if abs(gap) <= TOLERANCE * x["t"]:
-                open_.discard(r["source"])
-                continue
-            x["hi" if gap > 0 else "lo"] = x["l"]
-            step = x["l"] - gap / r["d"] if r["d"] > 0 else None
-            inside = step is not None and (x["lo"] is None or step > x["lo"]) and (x["hi"] is None or step < x["hi"]) and abs(step) < 700
-            if not inside:
-                step = (x["lo"] + x["hi"]) / 2 if x["lo"] is not None and x["hi"] is not None else x["l"] * 2 + (1 if gap < 0 else -1)
-            x["l"] = step
-    return {s: (x["l"], x["scale"]) for s, x in state.items()}
-
-
-def mix(docs: DataFrame, targets: dict | None = None, *, cap: int = CAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+        sums = met.groupBy("source").agg(_exact(tokens).alias("g"), _exact(slope).alias("d"))
+        x = state.alias("s").join(sums.alias("g"), _same("s", "g"), "left").select("s.*", "g.g", "g.d", (F.col("g.g") - F.col("s.t")).alias("gap"))
+        x = x.withColumn("ready", F.col("settled") | (F.abs("gap") <= TOLERANCE * F.col("t")))
+        x = x.withColumn("lo2", F.when(F.col("gap") <= 0, F.col("l")).otherwise(F.col("lo"))).withColumn("hi2", F.when(F.col("gap") > 0, F.col("l")).otherwise(F.col("hi")))
+        newton = F.col("l") - F.try_divide(F.col("gap"), F.col("d"))
+        inside = F.coalesce(newton > F.col("lo2"), F.lit(True)) & F.coalesce(newton < F.col("hi2"), F.lit(True)) & (F.abs(newton) < 700)
+        other = F.coalesce((F.col("lo2") + F.col("hi2")) / 2, F.col("l") * 2 + F.when(F.col("gap") < 0, 1.0).otherwise(-1.0))
+        step = F.when(F.col("ready"), F.col("l")).when((F.col("d") > 0) & inside, newton).otherwise(other)
+        last, state = state, work.cut(x.select("source", "scale", "t", step.alias("l"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("ready").alias("settled")))
+        work.drop(last)
+    raise RuntimeError(f"multipliers have not settled after {steps} steps")
+
+
+def mix(docs: DataFrame, targets: DataFrame | None = None, *, cap: int = CAP, bucket_rows: int = BUCKET_ROWS, work: Scratch | None = None) -> DataFrame:
     """doc_id, source, size, rate, copies, source_size, target for every row of docs(doc_id, source, size).
 
-    targets: source -> tokens; by default those of `cyclic_targets`. The number of sources is what
-    reaches the driver (a row each, as for any list of weights that a person sets).
+    targets: (source, target in tokens); by default all tokens are shared by `cyclic_weights`.
     """
-    spark = docs.sparkSession
-    kind = docs.schema["source"].dataType
-    rows = cut(docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")))
-    groups = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    sizes = [(r["source"], int(r["t"] or 0)) for r in groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("t")).collect()]
-    targets = cyclic_targets(sizes, cap) if targets is None else targets
-    real = groups.where("size > 0")
-    solved = solve_rates(real, targets, cap=cap)
-    table = T.StructType([T.StructField("s", kind)] + [T.StructField(c, T.DoubleType()) for c in ("l", "scale", "target")] + [T.StructField("source_size", T.LongType())])
-    plan = spark.createDataFrame([(s, *(float(v) for v in solved.get(s, (float("-inf"), 1.0))), float(targets.get(s, 0.0)), n) for s, n in sizes], table)
-    rate = F.when(F.col("size") == 0, 0.0).when(F.col("l") == float("inf"), float(cap)).when(F.col("l") == float("-inf"), 0.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("l") * F.col("size") / F.col("scale"))))
+    work = work or Scratch(docs.sparkSession)
+    rows = work.cut(docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")))
+    groups = work.cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    sizes = work.cut(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs")))
+    if targets is None:
+        aimed = water_fill(work.cut(cyclic_weights(sizes, work)), cap).drop("weight")
+    else:
+        aimed = sizes.alias("s").join(targets.alias("t"), _same("s", "t"), "left").select("s.*", F.coalesce(F.col("t.target").cast("double"), F.lit(0.0)).alias("target"))
+    aimed = work.cut(aimed)
+    solved = solve_rates(groups.where("size > 0"), aimed, work, cap=cap)
+    plan = work.cut(aimed.alias("a").join(solved.alias("s"), _same("a", "s")).select("a.source", "a.target", F.col("a.tokens").alias("source_size"), "s.l", "s.scale"))
+    tilt = F.when(F.col("l") == float("inf"), float(cap)).when(F.col("l") == float("-inf"), 0.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("l") * F.col("size") / F.col("scale"))))
+    rate = F.when(F.col("size") == 0, 0.0).otherwise(tilt)
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(bucket_rows))).cast("int")
-    rated = cut(groups.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", rate.alias("rate"), "target", "source_size", buckets.alias("buckets")))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))
-    dealt = cut(
-        rows.alias("d").join(rated.alias("g"), same("d", "g")).select("d.doc_id", "d.source", "d.size", "g.rate", "g.target", "g.source_size", F.pmod(F.xxhash64(F.lit("mix"), "d.doc_id"), F.col("g.buckets")).cast("int").alias("bucket"))
-    )
+    rated = work.cut(groups.alias("g").join(plan.alias("p"), _same("g", "p")).select("g.source", "g.size", "g.n", rate.alias("rate"), "p.target", "p.source_size", buckets.alias("buckets")))
+    bucket = F.pmod(F.xxhash64(F.lit("mix"), "d.doc_id"), F.col("g.buckets")).cast("int").alias("bucket")
+    dealt = work.cut(rows.alias("d").join(rated.alias("g"), _same("d", "g", "size")).select("d.doc_id", "d.source", "d.size", "g.rate", "g.target", "g.source_size", bucket))
     cells = dealt.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"), F.first("rate").alias("rate"), F.first("target").alias("target"))
-    cells = cut(_round(cells, cap))
+    cells = _round(work.cut(cells), cap, work)
     order = Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit("mixed"), "doc_id"), "doc_id")
     ranked = dealt.withColumn("rank", F.row_number().over(order))
-    joined = ranked.alias("d").join(cells.alias("c"), same("d", "c") & (F.col("d.bucket") == F.col("c.bucket")))
+    joined = ranked.alias("d").join(cells.alias("c"), _same("d", "c", "size", "bucket"))
     copies = F.floor(F.col("c.copies") / F.col("c.n")) + (F.col("d.rank") <= F.col("c.copies") % F.col("c.n")).cast("long")
-    return joined.select("d.doc_id", "d.source", "d.size", "d.rate", copies.cast("long").alias("copies"), "d.source_size", "d.target")
+    return work.finish(joined.select("d.doc_id", "d.source", "d.size", "d.rate", copies.cast("long").alias("copies"), "d.source_size", "d.target"))
 
 
-def _round(cells: DataFrame, cap: int, rounds: int = 4) -> DataFrame:
+def _settle(cells: DataFrame) -> DataFrame:
+    """cells(source, size, bucket, want in units) with `add`: running totals from long to short, rounded, and their steps."""
+    ranges = cells.withColumn("range", F.expr(f"size div {RANGE}"))
+    down = Window.partitionBy("source").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy("source", "range").agg(F.sum("want").alias("whole")).select("source", "range", F.coalesce(F.sum("whole").over(down), F.lit(0)).alias("before"))
+    joined = ranges.alias("c").join(before.alias("b"), _same("c", "b", "range")).select("c.*", "b.before")
+    inside = Window.partitionBy("source", "range").orderBy(F.col("size").desc(), "bucket").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.col("before") + F.sum("want").over(inside)
+    rounded = lambda x: F.shiftright(x + UNIT // 2, UNIT.bit_length() - 1)
+    return joined.withColumn("run", run).withColumn("add", rounded(F.col("run")) - rounded(F.col("run") - F.col("want"))).drop("range", "before", "run")
+
+
+def _round(cells: DataFrame, cap: int, work: Scratch, rounds: int = 4) -> DataFrame:
     """Copies of each cell: running totals of wanted copies, rounded, from long to short.
 
     What the tokens still lack is then spread over cells of at most a quarter, 1/16, ... of the
     longest size, in proportion to the room they have, and rounded the same way.
     """
-    down = Window.partitionBy("source").orderBy(F.col("size").desc(), "bucket").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("source")
-    out = cells.withColumn("want", F.col("n") * F.col("rate"))
-
-    def settle(df: DataFrame) -> DataFrame:
-        df = df.withColumn("run", F.round(F.sum("want").over(down)).cast("long"))
-        step = F.col("run") - F.coalesce(F.lag("run").over(Window.partitionBy("source").orderBy(F.col("size").desc(), "bucket")), F.lit(0))
-        return df.withColumn("add", step)
-
-    out = settle(out).withColumn("copies", F.greatest(F.lit(0), F.least(cap * F.col("n"), F.col("add"))))
+    out = _settle(cells.withColumn("want", F.round(F.col("n") * F.col("rate") * UNIT).cast("long")))
+    out = work.cut(out.withColumn("copies", F.greatest(F.lit(0), F.least(cap * F.col("n"), F.col("add")))).drop("want", "add"))
     for k in range(1, rounds + 1):
-        out = out.withColumn("gap", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(whole)).withColumn("top", F.max("size").over(whole))
+        gap = F.max("target") - F.sum(F.col("copies") * F.col("size"))
+        whole = out.groupBy("source").agg(gap.alias("gap"), F.max("size").alias("top"))
+        told = out.alias("c").join(whole.alias("w"), _same("c", "w")).select("c.*", "w.gap", "w.top")
         room = F.when(F.col("gap") > 0, cap * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-        room = F.when((F.col("size") > 0) & (F.col("size") * (4**k) <= F.col("top")), room).otherwise(F.lit(0))
-        out = out.withColumn("room", room).withColumn("free", F.sum(F.col("room") * F.col("size")).over(whole))
+        told = told.withColumn("room", F.when((F.col("size") > 0) & (F.col("size") * (4**k) <= F.col("top")), room).otherwise(F.lit(0)))
+        free = told.groupBy("source").agg(F.sum(F.col("room") * F.col("size")).alias("free"))
+        told = told.alias("c").join(free.alias("f"), _same("c", "f")).select("c.*", "f.free")
         share = F.when(F.col("free") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("gap") / F.col("free")))).otherwise(F.lit(0.0))
-        out = settle(out.withColumn("want", share * F.col("room")))
-        out = out.withColumn("copies", F.greatest(F.lit(0), F.least(cap * F.col("n"), F.col("copies") + F.col("add"))))
-    return out.select("source", "size", "bucket", "n", "copies")
+        told = _settle(told.withColumn("want", F.round(share * F.col("room") * UNIT).cast("long")))
+        copies = F.greatest(F.lit(0), F.least(cap * F.col("n"), F.col("copies") + F.col("add")))
+        last, out = out, work.cut(told.withColumn("copies", copies).select("source", "size", "bucket", "n", "target", "copies"))
+        work.drop(last)
+    return out
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ Full sets are made of documents that an estimate let pass, for each round of pai
 those texts move. Pairs never come from whole lists (see links.py).
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; fewer words than
-a shingle has make one shingle of the whole sequence. Repeated rows are one document; rows of one
-doc_id with several texts are linked each by its own text. Rows of null doc_id stay alone and are
-kept. An empty table gives an empty result. Other columns are ignored.
+a shingle has make one shingle of the whole sequence. Texts of any length are hashed whole. Repeated
+rows are one document, and rows of one doc_id with several texts are one node of the graph: what any
+of them resembles is in its component, as it is reachable through that id. Of equal lists or weights
+the smaller id is the hub. Rows of null doc_id stay alone and are kept. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, likely_in, read_table
+from .common import Scratch, likely_in, read_table
 from .links import link_groups
 
 #: Odd multipliers of the shingle hash.
@@ -122,11 +124,11 @@ def full_sets(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
 def _lists(sets: DataFrame, like: Likeness) -> DataFrame:
     """Postings key, id, weight, n of the rarest values of each set that other sets hold too."""
-    values = sets.select(F.explode("sketch").alias("key"), F.col("rep").alias("id"))
+    values = sets.select(F.explode("sketch").alias("key"), F.col("rep").alias("id"), "set_a")
     common = values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = values.join(common, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("held"), F.sum("df").alias("weight"))
-    sized = sets.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.size("sketch").alias("m"))
-    joined = shared.join(sized, "id")
+    shared = values.join(common, "key").groupBy("id", "set_a").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("held"), F.sum("df").alias("weight"))
+    sized = sets.select(F.col("rep").alias("id"), "set_a", F.col("n_shingles").alias("n"), F.size("sketch").alias("m"))
+    joined = shared.join(sized, ["id", "set_a"])
     needed = F.when(F.col("n") <= like.whole, F.ceil(F.col("n") * (like.percent / 100.0))).otherwise(F.lit(like.shared))
     # Values no other set holds come first in the order and use up the prefix.
     room = F.greatest(F.lit(0), F.col("m") - needed + 1 - (F.col("m") - F.size("held"))).cast("int")
@@ -135,18 +137,20 @@ def _lists(sets: DataFrame, like: Likeness) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    rows = cut(sketches(docs, like))
+    work = Scratch(docs.sparkSession)
+    rows = work.cut(sketches(docs, like))
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    sets = cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    lists = cut(_lists(sets, like))
-    several = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    lists = cut(lists.join(several, "key"))
+    sets = work.cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    first = work.cut(_lists(sets, like))
+    several = first.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    lists = work.cut(first.join(several, "key"))
+    work.drop(first)
     known = sets.select(F.col("rep").alias("id"), "sketch")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Full sets of some documents; the texts of others are left where they are."""
         texts = likely_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), F.col("id"), ids, F.col("id"))
-        return cut(full_sets(texts.join(ids, "id"), like))
+        return work.cut(full_sets(texts.join(ids, "id"), like))
 
     def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         a, b = (table.select(F.col("id").alias(s), F.col(column).alias(f"{column}_{s}")) for s in ("a", "b"))
@@ -158,7 +162,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         matches = F.size(F.array_intersect(F.col("union"), F.array_intersect("sketch_a", "sketch_b")))
         # Where both sketches are whole sets smaller than k the estimate is exact; the margin only widens it.
         passed = met.withColumn("union", union).where(matches * like.k >= like.shared * F.size("union")).select("a", "b")
-        passed = cut(passed)
+        passed = work.cut(passed)
         sure = both(passed, sets_of(passed.select(F.col("a").alias("id")).union(passed.select("b")).distinct()), "shingles")
         common = F.size(F.array_intersect("shingles_a", "shingles_b"))
         total = F.size("shingles_a") + F.size("shingles_b")
@@ -175,11 +179,11 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         that have too few others to be linked. An overlap is at most the smaller `inside` and what
         both have outside.
         """
-        whole = sets_of(cut(seen.select("id").union(seen.select("hub")).distinct()))
+        whole = sets_of(work.cut(seen.select("id").union(seen.select("hub")).distinct()))
         values = whole.select("id", F.explode("shingles").alias("v"))
         several = values.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("v")
         held = values.join(several, "v", "left_semi").groupBy("id").agg(F.collect_list("v").alias("held"))
-        sized = lists.groupBy("id").agg(F.first("n").alias("n"))
+        sized = lists.groupBy("id").agg(F.min("n").alias("n"))
         held = held.join(sized, "id").where(100 * F.size("held") >= like.percent * F.col("n")).select("id", "held")
         met = seen.join(held, "id").join(whole.select(F.col("id").alias("hub"), "shingles"), "hub")
         return met.select("id", "hub", F.size(F.array_intersect("held", "shingles")).alias("inside"), F.array_except("held", "shingles").alias("outside"))
@@ -190,12 +194,11 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         most = F.least(F.size(f"{a}outside"), F.size(f"{b}outside"))
         return near(a, b) & enough(inside + most) & enough(inside + F.size(F.array_intersect(f"{a}outside", f"{b}outside")))
 
-    groups = link_groups(lists, verify, near, ["n"], refine=refine, near_refined=near_refined)
+    groups = link_groups(work, lists, verify, near, ["n"], refine=refine, near_refined=near_refined)
     named = sets.join(groups, sets["rep"] == groups["id"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    named = cut(named)
     out = full.join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone)
+    return work.finish(out.unionByName(alone))
 
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:

@@ -5,7 +5,8 @@ are fitted on the driver from at most `max_rows` labelled rows (the smallest has
 documented bound), flattened into arrays of complete binary trees, and every document is scored by
 walking all trees with numpy, a level at a time.
 
-Defined cases: null and empty texts have all statistics 0 and get a score. Labels that are null are
+Defined cases: null and empty texts have all statistics 0 and get a score. Very long texts are counted
+whole, one at a time. Labels that are null are
 ignored, several labels of one document count as their mean. Without usable labels, or with labels
 of one kind, the score is their smoothed mean. A null doc_id is scored and never learnt from.
 Repeated rows are scored one by one; an empty table gives an empty result. Other columns are ignored.
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import Scratch, read_table
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "symbol", "stop", "bang", "pipe", "line_breaks", "high_bytes",
@@ -131,9 +132,19 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, bins:
 
 
 def learn(stats: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, **options) -> Forest:
-    """A forest from at most max_rows labelled rows, those of the smallest hash of doc_id."""
+    """A forest from at most max_rows labelled rows, those of the smallest hash of doc_id.
+
+    The labelled rows are counted first, so that only those under a hash that about 1.2 times max_rows
+    lie below leave their tasks. Rows of equal hash (one id) are ordered by their statistics.
+    """
     told = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("_y"))
-    rows = stats.join(told, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_rows).select("_y", *FEATURES).toPandas()
+    rows = stats.join(told, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    share = 1.2 * (max_rows + 1000) / max(1, told.count())
+    if share < 1:
+        near = rows.where(F.col("_h") < F.lit(int(-(2.0**63) + share * 2.0**64)))
+        # Labels without documents, or documents in many rows, change what lies below.
+        rows = near if near.limit(max_rows).count() == max_rows else rows
+    rows = rows.orderBy("_h", "doc_id", *FEATURES).limit(max_rows).select("_y", *FEATURES).toPandas()
     y = rows.pop("_y").to_numpy(np.float64)
     return fit(rows.to_numpy(np.float32), y, **options)
 
@@ -156,7 +167,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    stats = cut(document_statistics(read_table(spark, sf_dir, "documents")))
+    stats = Scratch(spark).cut(document_statistics(read_table(spark, sf_dir, "documents")))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out())
     scored = score_documents(stats, learn(stats, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

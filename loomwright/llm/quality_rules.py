@@ -4,7 +4,7 @@ Everything is a DataFrame expression. Document rules look only at their own text
 no shuffle; hosts are aggregated with map-side combine, which also absorbs a host that owns a third
 of the corpus.
 
-Defined cases: a null text counts as empty (no words, so it fails). A null host has no verdict, its
+Defined cases: a null text counts as empty (no words, so it fails). Texts of any length are judged whole. A null host has no verdict, its
 documents stand by their own rules. Repeated rows are judged one by one. An empty table gives an
 empty result. Input columns other than the named ones are ignored by `document_rules` and passed
 through by `apply_rules`; its working columns have reserved names (prefix `_qr_`).
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, read_table, text_of, words_of
+from .common import SPACES, Scratch, read_table, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -29,8 +29,10 @@ FEW_HOSTS = 10_000
 class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
-    #: A host goes if its shrunken failure rate exceeds this.
-    max_host_rate: float = 0.8
+    #: A host goes if its shrunken failure rate is so many standard deviations of the fitted prior above its
+    #: mean, and at least this: one that still has more good documents than bad ones is not thrown away.
+    host_deviations: float = 3.0
+    min_host_rate: float = 0.5
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -85,15 +87,17 @@ def document_rules(docs: DataFrame, rules: Rules = Rules(), *, text: str = "text
     return out.withColumn("base_failed", failed)
 
 
-def host_verdicts(judged: DataFrame, rules: Rules = Rules(), *, host: str = "source") -> DataFrame:
+def host_verdicts(judged: DataFrame, rules: Rules = Rules(), *, host: str = "source", work: Scratch | None = None) -> DataFrame:
     """One row per host: documents, failures, shrunken host_rate, host_rejected.
 
     The beta prior is fitted over hosts by the method of moments: the spread of host rates beyond
     what binomial noise explains sets its strength. Only the fitted pair of numbers reaches the
-    driver. Without such spread, every host shrinks to the corpus rate.
+    driver. Without such spread, every host shrinks to the corpus rate. The limit comes from the prior
+    as well (see Rules).
     """
+    work = work or Scratch(judged.sparkSession)
     hosts = judged.where(F.col(host).isNotNull()).groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    hosts = cut(hosts)  # read twice: for the prior and for the rates
+    hosts = work.cut(hosts)  # read twice: for the prior and for the rates
     rate = F.col("host_failed") / F.col("host_docs")
     s = hosts.agg(
         F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.count(F.lit(1)).alias("h"),
@@ -104,13 +108,15 @@ def host_verdicts(judged: DataFrame, rules: Rules = Rules(), *, host: str = "sou
     spread = (s["s2"] / n - mean * mean - mean * (1 - mean) * h / n) if n else 0.0
     strength = min(n, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else n
     shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > rules.max_host_rate)
+    limit = max(rules.min_host_rate, mean + rules.host_deviations * (mean * (1 - mean) / (strength + 1)) ** 0.5)
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > limit)
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Digest of every document with its verdict `kept`. The narrow rule table is written once."""
-    judged = cut(document_rules(docs, rules))
-    hosts = host_verdicts(judged, rules).select("source", "host_rate", "host_rejected")
+    work = Scratch(docs.sparkSession)
+    judged = work.cut(document_rules(docs, rules))
+    hosts = host_verdicts(judged, rules, work=work).select("source", "host_rate", "host_rejected")
     out = judged.join(hosts, "source", "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
 
@@ -118,21 +124,24 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with the columns they came with.
 
-    Texts are judged where they lie; only the host table (a row per host) is joined to them.
+    One pass over the texts writes those that pass their own rules, and of the others the host alone;
+    the host table (a row per host) decides on the rest.
     """
-    columns = docs.columns
-    hosts = host_verdicts(document_rules(docs, rules, keep=("source",)), rules)
-    rejected = hosts.where("host_rejected").select(F.col("source").alias("_qr_host"))
+    columns, work = docs.columns, Scratch(docs.sparkSession)
     # Names of the rule columns may clash with the documents' own, so these travel under others.
     own = [f"_qr_c{i}" for i in range(len(columns))]
-    renamed = docs.toDF(*own)
-    judged = document_rules(renamed, rules, text=own[columns.index("text")], keep=tuple(own)).where(~F.col("base_failed"))
+    text, host = own[columns.index("text")], own[columns.index("source")]
+    judged = document_rules(docs.toDF(*own), rules, text=text, keep=tuple(own))
+    judged = work.cut(judged.select(*[F.col(c) if c == host else F.when(~F.col("base_failed"), F.col(c)).alias(c) for c in own], "base_failed"))
+    hosts = host_verdicts(judged.select(host, "base_failed"), rules, host=host, work=work)
+    rejected = work.cut(hosts.where("host_rejected").select(F.col(host).alias("_qr_host")))
+    kept = judged.where("not base_failed")
     some = rejected.limit(FEW_HOSTS + 1).count()
     if some:
         # Few hosts are sent to the texts; only more of them than that make the texts move.
         rejected = F.broadcast(rejected) if some <= FEW_HOSTS else rejected
-        judged = judged.join(rejected, judged[own[columns.index("source")]] == F.col("_qr_host"), "left_anti")
-    return judged.select(*own).toDF(*columns)
+        kept = kept.join(rejected, kept[host] == F.col("_qr_host"), "left_anti")
+    return kept.select(*own).toDF(*columns)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -166,8 +175,8 @@ WITH d AS (
   SELECT CAST(sum(n) AS DOUBLE) AS n, sum(x) / sum(n) AS p, count(*) AS h, sum(n * (x / n) * (x / n)) / sum(n) AS s2 FROM h
 ), v AS (SELECT n, p, s2 - p * p - p * (1 - p) * h / n AS spread FROM m
 ), s AS (SELECT p, CASE WHEN spread > 1e-12 THEN least(n, greatest(1.0, p * (1 - p) / spread - 1)) ELSE n END AS k FROM v
-), z AS (SELECT source, (x + p * k) / (n + k) AS host_rate FROM h, s)
+), z AS (SELECT source, (x + p * k) / (n + k) AS host_rate, greatest(0.5, p + 3 * sqrt(p * (1 - p) / (k + 1))) AS host_limit FROM h, s)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(host_rate > 0.8, false) AS kept, round(host_rate, 9) AS host_rate
+  NOT base_failed AND NOT coalesce(host_rate > host_limit, false) AS kept, round(host_rate, 9) AS host_rate
 FROM f LEFT JOIN z USING (source)
 """

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, text_of, unit_hash
+from .common import Scratch, read_table, text_of, unit_hash
 
 SLOT_BUCKETS = 1024
 #: Bytes a row costs beside its text.
@@ -100,5 +100,5 @@ def op7_sharding(spark, sf_dir: str, shards: int = 24) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", (F.octet_length(text_of()) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"))
     placed = assign_shards(sized, tree).withColumn("grown_shard", draw_shard([F.col("doc_id")], grown(tree)))
-    out = number_slots(cut(placed), key=("doc_id", "text_crc32", "size"))
+    out = number_slots(Scratch(spark).cut(placed), key=("doc_id", "text_crc32", "size"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import Scratch, read_table
 
 LEAF, SHARD_ROWS, BLOCK_ROWS = 32, 2048, 1024
 
