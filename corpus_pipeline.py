@@ -2,13 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Defined cases, for all stages: columns beside doc_id, text and source pass through, whatever their names.
+Null and blank texts fail the quality rules, and later stages leave them as they are (no lines, in no
+group, no copies, the end id alone). A null doc_id sorts first and is in no group; a null source is a source
+of its own. Very long texts count whole. Repeated rows are one document to line dedup and near-dedup, which
+keep or drop them together; mixing deals their copies. An empty table goes through as an empty one.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from loomwright.llm.common import read_table, shared_folder
+from loomwright.llm.common import delete, read_table, scope, shared_folder
 from loomwright.llm.line_dedup import dedup_lines
 from loomwright.llm.mixing import mixed_documents
 from loomwright.llm.near_dup import Likeness, keep_one
@@ -57,10 +63,18 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over the documents of sf_dir. Stage tables go to the shared checkpoint folder."""
-    docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents of sf_dir.
+
+    Stage tables go to the shared checkpoint folder. What a stage worked with goes once its table is
+    written, a stage table once the next one is; the last one stays, as the result reads it.
+    """
+    docs, folder, last = read_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
