@@ -49,7 +49,7 @@ def _in_blocks(members: DataFrame, side: str, block: int) -> DataFrame:
     return out.withColumn("lo", F.least(f"{side}own", "other")).withColumn("hi", F.greatest(f"{side}own", "other")).drop("other", "b")
 
 
-def link_groups(work: Scratch, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], attributes: list[str], *, hub_rounds: int = 2, refine: Callable[[DataFrame], DataFrame] | None = None, near_refined: Callable[[str, str], Column] | None = None, block: int = BLOCK) -> DataFrame:
+def link_groups(work: Scratch, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], attributes: list[str], *, hub_rounds: int = 2, one_hub: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None, near_refined: Callable[[str, str], Column] | None = None, block: int = BLOCK) -> DataFrame:
     """Components of the graph of all verified pairs that share a key: (id, component).
 
     postings: key, id, weight and the attributes that `near(prefix_a, prefix_b)` reads, a cheap
@@ -61,17 +61,20 @@ def link_groups(work: Scratch, postings: DataFrame, verify: Callable[[DataFrame]
     one group already. After some rounds of hubs, lists that still hold several groups get all
     pairs across their groups that pass the condition, so no link between groups is lost. Lists longer
     than `block` are dealt into blocks for that, and each pair of blocks is a task's work of its own.
-    For that step, refine(pairs of id and hub) may give further attributes of an id as seen from a
+    With one_hub, a member first meets only the hub that it shares most lists with. No pair is verified twice.
+    For the last step, refine(pairs of id and hub) may give further attributes of an id as seen from a
     list's hub (leaving out ids that can link with no other), and near_refined a sharper necessary
     condition on them, which the join itself applies.
     """
     side = lambda p: [F.col("id").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in attributes]]
     member = F.struct(F.col("weight"), F.bitwise_not("id").alias("back"), *[F.col(c) for c in attributes])
-    edges, group, open_ = None, None, postings
+    edges, group, tested, open_ = None, None, None, postings
 
     def add(pairs: DataFrame) -> None:
-        nonlocal edges, group
+        nonlocal edges, group, tested
         pairs = pairs.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
+        pairs = work.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else work.cut(tested.unionByName(pairs))
         older = [t for t, _ in work.tables if t is not edges and t is not group]
         found = verify(pairs)
         edges = work.cut(found if edges is None else edges.unionByName(found))
@@ -90,7 +93,11 @@ def link_groups(work: Scratch, postings: DataFrame, verify: Callable[[DataFrame]
             hubs = open_.groupBy("key").agg(F.max(member).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
             mine = open_.select("key", *side("b"))
             met = mine.join(hubs, "key").select("key", *[F.col(x) for x in mine.columns if x != "key"], F.bitwise_not("h.back").alias("aid"), *[F.col(f"h.{c}").alias(f"a{c}") for c in attributes])
-            add(met.where(F.col("aid") != F.col("bid")).where(near("a", "b")))
+            met = met.where(F.col("aid") != F.col("bid")).where(near("a", "b"))
+            if one_hub:
+                shared = met.groupBy("aid", "bid").agg(F.count(F.lit(1)).alias("n"))
+                met = shared.groupBy("bid").agg(F.max_by("aid", F.struct("n", F.bitwise_not("aid"))).alias("aid"))
+            add(met)
         else:
             # The weightiest member outside the first hub's group meets all that are outside its own.
             lead = open_.groupBy("key").agg(F.max_by("g", F.struct("weight", F.bitwise_not("id"))).alias("lead"))
