@@ -12,7 +12,8 @@ carry a margin for rounding, and ties survive pruning, so results equal brute fo
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; a
 query meets candidates of its own length only. Equal ids are one vector's: none of them is a
-candidate for a query of that id. Repeated rows collapse. Other columns are ignored.
+candidate for a query of that id. Repeated rows are candidates each, so their score appears as often; a
+repeated query is one query. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _usable(df: DataFrame, ident: str, vector: str, scale: float | None) -> Data
     v = F.col(vector)
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     out = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")) if scale else F.transform(v, lambda x: x.cast("double"))
-    return df.where(ok & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), out.alias("v")).distinct()
+    return df.where(ok & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), out.alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, ident: str = "vec_id", vector: str = "embedding", scale: float | None = None, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -129,8 +130,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, ident: str = "v
 
     scale: components become floor(scale * x) first. Shards and blocks follow from the row counts.
     """
-    x = cut(_usable(vectors, ident, vector, scale).withColumn("dim", F.size("v")))
-    q = cut(_usable(queries, ident, vector, scale).withColumn("dim", F.size("v")))
+    work = Scratch(vectors.sparkSession)
+    x = work.cut(_usable(vectors, ident, vector, scale).withColumn("dim", F.size("v")))
+    q = work.cut(_usable(queries, ident, vector, scale).distinct().withColumn("dim", F.size("v")))
     shards, blocks = max(1, -(-x.count() // shard_rows)), max(1, -(-q.count() // block_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
@@ -161,7 +163,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, ident: str = "v
     floors = searched(keyed, False).groupBy("query_id").agg(F.max("score").alias("floor"))
     floored = keyed.join(floors, keyed["id"] == floors["query_id"], "left").select("dim", "id", "v", "block", F.coalesce("floor", low).alias("floor"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    out = searched(floored, True).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = searched(floored, True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
@@ -176,7 +178,7 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5

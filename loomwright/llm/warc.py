@@ -8,8 +8,12 @@ page's text. Ids are name-based on what they refer to, so a rerun writes the sam
 
 Each response is handled alone: no shuffle, and memory bounded by an Arrow batch.
 
+Pages are scanned in time that grows with their length, whatever they hold, so very long ones are
+taken whole. A `<` after a page's last `>` opens no tag and is text.
+
 Defined cases: a null payload is empty and gives an empty conversion; a null URI is left out of the
-headers. Repeated responses give repeated records. An empty table gives an empty result. Other input
+headers. Records of a WARC file with a bad length are passed over; a file cut short ends with its last
+whole record. Repeated responses give repeated records. An empty table gives an empty result. Other input
 columns are ignored.
 """
 
@@ -19,8 +23,10 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -37,19 +43,56 @@ _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b
 _BREAK = re.compile(r"<(?:br|hr|/?(?:p|div|section|article|header|footer|nav|main|aside|ul|ol|li|dl|dt|dd|table|tr|h[1-6]|blockquote|pre|form|figure))\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _BLANK, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[\s]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_HTML, _LANG = re.compile(r"<html\b[^>]*>", re.I), re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK, _HREF = re.compile(r"<a\b[^>]*>", re.I), re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
+#: Stands for a `<` that opens nothing. Lone surrogates occur in no valid text.
+_BARE = "\udfff"
+#: Response rows of a WARC file that are handed on at once.
+PART = 100
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _closed(page: str) -> str:
+    """The page with each `<` after its last `>` masked, but those of comments.
+
+    Every tag that a pattern starts on then has its end, so no text is scanned twice for one.
+    """
+    at = page.rfind(">") + 1
+    return page[:at] + page[at:].replace("<", _BARE).replace(f"{_BARE}!--", "<!--")
+
+
 def plain_text(page: str) -> str:
     """Text of a page: no markup, scripts or title; blocks on lines of their own; entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub("", page)))
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
+    text = page
+    for pattern, by in ((_DROP, ""), (_BREAK, "\n"), (_TAG, "")):
+        text = pattern.sub(by, _closed(text))
+    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text.replace(_BARE, "<")))).strip()
+
+
+def title_of(page: str) -> str | None:
+    page = _closed(page)
+    if (start := _TITLE.search(page)) and (end := _TITLE_END.search(page, start.end())):
+        return html.unescape(page[start.end() : end.start()])
+    return None
+
+
+def language_of(page: str) -> str | None:
+    """The last lang of the first html tag that has one."""
+    return next((found[-1] for tag in _HTML.finditer(_closed(page)) if (found := _LANG.findall(tag[0]))), None)
+
+
+def links_of(page: str) -> Iterator[str]:
+    page, at = _closed(page), 0
+    while tag := _LINK.search(page, at):
+        at = tag.end()
+        if (name := _HREF.search(page, tag.start(), at)) and (value := _VALUE.match(page, name.end())):
+            at = max(at, value.end())
+            yield html.unescape(value[1] or value[2] or value[3] or "")
 
 
 def _one_line(value: str) -> str:
@@ -62,20 +105,32 @@ def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + block + CRLF * 2
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file's bytes, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
         headers = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip()] = value.strip()
-        size = int(headers.get("Content-Length", "0"))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        if not line:
+            return  # cut short within its headers
+        size = headers.get("Content-Length", "0")
+        if not (size.isascii() and size.isdigit()):
+            continue
+        block = stream.read(int(size))
+        if len(block) < int(size):
+            return
+        yield headers, block
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each whole record of a WARC file's bytes, gzipped or not, a record at a time."""
+    stream = io.BytesIO(data)
+    try:
+        yield from _records(io.BufferedReader(gzip.GzipFile(fileobj=stream)) if data[:2] == b"\x1f\x8b" else stream)
+    except (EOFError, OSError, zlib.error):
+        return
 
 
 def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -100,6 +155,7 @@ def read_warc(spark, path: str) -> DataFrame:
     def run(batches):
         import pandas as pd
 
+        names = ["page_key", "record_id", "target_uri", "date", "headers", "payload"]
         for b in batches:
             for content in b["content"]:
                 rows = []
@@ -108,8 +164,11 @@ def read_warc(spark, path: str) -> DataFrame:
                         continue
                     top, _, body = block.partition(b"\r\n\r\n")
                     pairs = [tuple(map(str.strip, x.split(":", 1))) for x in top.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x]
+                    if len(rows) == PART:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
                     rows.append((h.get("WARC-Record-ID"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), [{"name": n, "value": v} for n, v in pairs], body.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["page_key", "record_id", "target_uri", "date", "headers", "payload"])
+                yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(run, schema)
 
@@ -118,11 +177,11 @@ def _derived(key, rid, uri, date, headers, payload) -> list[tuple]:
     page, uri_headers = payload or "", [("WARC-Target-URI", uri)] * (uri is not None)
     raw = page.encode()
     source = digest(raw)
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    title, lang = title_of(page), language_of(page)
     fields = [(f"source-header-{x['name']}", x["value"] or "") for x in headers or ()] + [("source-payload-digest", source)]
-    fields += [("title", html.unescape(title[1]))] if title else []
-    fields += [("language", lang[1])] if lang else []
-    fields += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(page)]
+    fields += [("title", title)] if title is not None else []
+    fields += [("language", lang)] if lang else []
+    fields += [("outlink", x) for x in links_of(page)]
     metadata = "".join(f"{n}: {_one_line(v)}\r\n" for n, v in fields)
     out = []
     for kind, content_type, block in (("metadata", "application/warc-fields", metadata), ("conversion", "text/plain; charset=utf-8", plain_text(page))):

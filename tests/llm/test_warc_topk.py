@@ -1,6 +1,8 @@
 import base64
 import gzip
 import hashlib
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -45,6 +47,60 @@ def test_files_round_trip(spark, tmp_path):
     assert out["conversion"] == "hello" and "source-header-Server: s" in out["metadata"]
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a<a", "<title>", "<html ", "<script ", '<a href="', "<!-- "])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_long_pages(unit, end):
+    """Five times the page takes about five times as long, not twenty-five (which would be minutes here)."""
+    page = unit * (5_000_000 // len(unit)) + end
+    started = time.process_time()
+    warc._derived("k", "r", "u", "d", [], page)
+    assert time.process_time() - started < 20
+
+
+class Reader(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.links, self.title, self.lang = [], None, None
+
+    def handle_starttag(self, tag, attrs):
+        got = dict(attrs)
+        if tag == "a" and got.get("href"):
+            self.links.append(got["href"])
+        if tag == "html":
+            self.lang = got.get("lang")
+        self.inside = tag
+
+    def handle_data(self, data):
+        if getattr(self, "inside", "") == "title" and self.title is None:
+            self.title = data
+
+
+def test_query_against_parser(spark, sf):
+    """Links, title and language of every page are those that a parser finds."""
+    rows = {(r["page_id"], r["warc_type"]): r for r in warc.op6_warc_derivatives(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(rows) == 2 * len(pages)
+    for p in pages:
+        read = Reader()
+        read.feed(p["html"] or "")
+        fields = [x.split(": ", 1) for x in rows[p["page_id"], "metadata"]["block"].split("\r\n") if ": " in x]
+        assert [v for n, v in fields if n == "outlink"] == read.links
+        assert [v for n, v in fields if n == "title"] == ([" ".join(read.title.split())] if read.title else [])
+        assert [v for n, v in fields if n == "language"] == ([read.lang] if read.lang else [])
+        raw = (p["html"] or "").encode()
+        assert rows[p["page_id"], "conversion"]["payload_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+
+
+def test_broken_files():
+    good = warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], b"block")
+    bad = b"WARC/1.1\r\nContent-Length: many\r\n\r\nlost\r\n\r\n"
+    assert [b for _, b in warc.parse(good + bad + good)] == [b"block", b"block"]
+    assert [b for _, b in warc.parse(good + good[:-8])] == [b"block"]
+    assert [b for _, b in warc.parse(good + b"WARC/1.1\r\nWARC-Ty")] == [b"block"]
+    assert [b for _, b in warc.parse(gzip.compress(good) + gzip.compress(good)[:-12])] == [b"block"]
+    assert list(warc.parse(b"")) == [] and list(warc.parse(b"no file")) == []
+
+
 def brute(ids, x, qids, q, k):
     out = {}
     for i, v in zip(qids, q, strict=True):
@@ -88,7 +144,8 @@ def test_awkward_vectors(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     q0, q50 = np.array([256, 128]), np.array([-1, 256])
     v = {1: np.array([128, 256]), 7: q0, 50: q50, 0: q0}
-    assert got[0] == [(1, 7, int(q0 @ v[7])), (2, 1, int(q0 @ v[1])), (3, 50, int(q0 @ v[50]))]
-    assert got[50] == [(1, 1, int(q50 @ v[1])), (2, 0, int(q50 @ v[0])), (3, 7, int(q50 @ v[7]))]
+    # A repeated row is a candidate each time: every row but the query's own counts.
+    assert got[0] == [(1, 7, int(q0 @ v[7])), (2, 7, int(q0 @ v[7])), (3, 1, int(q0 @ v[1])), (4, 50, int(q0 @ v[50]))]
+    assert got[50] == [(1, 1, int(q50 @ v[1])), (2, 0, int(q50 @ v[0])), (3, 7, int(q50 @ v[7])), (4, 7, int(q50 @ v[7]))]
     assert got[100] == [(1, 8, 768 * 256)]
     assert topk.top_k(df.where("1 = 0"), df.where("1 = 0"), 5).count() == 0
