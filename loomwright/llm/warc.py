@@ -128,7 +128,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each whole record of a WARC file's bytes, gzipped or not, a record at a time."""
     stream = io.BytesIO(data)
     try:
-        yield from _records(io.BufferedReader(gzip.GzipFile(fileobj=stream)) if data[:2] == b"\x1f\x8b" else stream)
+        yield from _records(gzip.GzipFile(fileobj=stream) if data[:2] == b"\x1f\x8b" else stream)
     except (EOFError, OSError, zlib.error):
         return
 
