@@ -60,3 +60,12 @@ HUB_BIAS_TERMS = (
 RANKER_HUNT, RANKER_ISSUE, RANKER_EVEN = {"A": 0.3, "B": 0.3, "C": 0.4}, {"A": 0.6, "B": 0.3, "C": 0.1}, {"A": 0.4, "B": 0.4, "C": 0.2}
 RANKER_DEFAULT = {"A": 0.34, "B": 0.33, "C": 0.33}
 LANES = {"A_issue": "A", "B_quality": "B", "C_suspicion": "C", "D_feature": "D"}
+# Headings of the bundles that prompts carry, and what stands for an empty one.
+FACT_HEAD, FACT_HUBS, FACT_ENTRIES = "FACT BUNDLE (deterministic — do not contradict):", "HUBS:", "ENTRY POINTS:"
+NO_HUBS, NO_ENTRIES = "  (none — graph has no high-fan-in symbols)", "  (none detected)"
+PATH_HEAD, NO_PATHS = "TRACED PATHS (deterministic):", "  (no outgoing call edges)"
+SOURCE_HEAD, NO_SOURCES = "SOURCE BUNDLE (grounded — reuse refs verbatim):", "SOURCE BUNDLE: (empty — upstream produced no grounded insights)"
+# First impression of a snapshot, and what stands for missing names.
+NO_HUB_NAMES, NO_ENTRY_NAMES = "no dominant hubs yet", "no clear entry points"
+# Limits of flow tracing, rechecks, compression and section retries; the note of a provider that failed.
+TRACE_TARGETS, TRACE_PATHS, RECHECK_REFS, COMPRESS_LINES, SECTION_RETRIES = 5, 3, 8, 15, 2

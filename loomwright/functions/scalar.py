@@ -33,6 +33,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / F.size(F.array_union(a, b)))
 
 
+def is_subset(part: Column, whole: Column) -> Column:
+    """Every element of part is in whole; an empty part always is."""
+    return F.size(F.array_except(part, whole)) == 0
+
+
 def clamp_unit(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

@@ -222,7 +222,7 @@ def pool_with_tail(reranked: DataFrame, pool: DataFrame, *, ident: str = "chunk_
 
 def attribute(claims: DataFrame, chunks: DataFrame, k: int = 2, scorer=overlap_scorer) -> DataFrame:
     """claim_id, rank, chunk_id: best chunks of each claim among those of its answer (answer_id)."""
-    pairs = claims.select("claim_id", "answer_id", F.col("text").alias("query")).join(chunks.select("answer_id", "chunk_id", F.col("content").alias("text")), "answer_id")
+    pairs = claims.where(F.trim("text") != "").select("claim_id", "answer_id", F.col("text").alias("query")).join(chunks.select("answer_id", "chunk_id", F.col("content").alias("text")), "answer_id")
     return ranked(score_pairs(pairs, scorer), [F.col("relevance").desc(), F.col("chunk_id")], k, partition="claim_id").select("claim_id", "rank", "chunk_id")
 
 

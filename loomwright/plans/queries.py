@@ -453,7 +453,7 @@ def mmr_select(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value IS NOT NULL")
     pairs = e.groupBy(F.col("event_type").alias("metric"), F.col("user_id").alias("case_id")).agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("before"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("after"))
-    return evaluation.bootstrap(pairs.dropna(), resamples=1000)
+    return evaluation.bootstrap(pairs.dropna())
 
 
 @query()

@@ -50,8 +50,8 @@ def write_report(metrics: DataFrame, path: str) -> None:
 
 
 def latest_report(reports: DataFrame) -> DataFrame:
-    """The newest row of each suite by stamp."""
-    return reports.groupBy("suite").agg(F.max_by(F.struct("stamp", "value"), "stamp").alias("r")).select("suite", "r.*")
+    """The newest row of each suite by stamp, ties to the larger value."""
+    return reports.groupBy("suite").agg(F.max(F.struct("stamp", "value")).alias("r")).select("suite", "r.*")
 
 
 def metric_table(long: DataFrame, metrics: list[str]) -> DataFrame:
