@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,19 +152,27 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
     Symbols start with the label of their best connected neighbour, or their own if none has more
     edges, which keeps neighbours from swapping labels forever. Deterministic for any partitioning; a
-    label is the name of a member.
+    label is the name of a member. It ends once no label changes; labels that still swap are those of
+    `rounds` rounds. Lineage is cut each round in the checkpoint folder, which has to be set on a cluster.
     """
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     pairs = edges.select("src", "dst").where("src <> dst")
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     ends = both.groupBy(F.col("src").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
     near = both.join(ends.withColumnRenamed("symbol", "dst"), "dst").select(F.col("src").alias("symbol"), F.col("dst").alias("other"), "n")
     own = ends.select("symbol", F.col("symbol").alias("other"), "n")
-    labels = near.unionByName(own).groupBy("symbol").agg(F.min_by("other", F.struct((-F.col("n")).alias("n"), "other")).alias("community"))
-    for k in range(rounds):
+    labels = near.unionByName(own).groupBy("symbol").agg(F.min_by("other", F.struct((-F.col("n")).alias("n"), "other")).alias("community")).checkpoint()
+    for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("symbol", "dst"), "dst").groupBy(F.col("src").alias("symbol"), "community").agg(F.count(F.lit(1)).alias("n"))
         own = labels.withColumn("n", F.lit(1).cast("long"))  # a symbol's own label votes too, which stops two from swapping
         best = F.min_by("community", F.struct((-F.col("n")).alias("n"), "community"))
-        labels = votes.unionByName(own).groupBy("symbol", "community").agg(F.sum("n").alias("n")).groupBy("symbol").agg(best.alias("community"))
-        if k % 3 == 2:
-            labels = labels.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else labels
+        told = votes.unionByName(own).groupBy("symbol", "community").agg(F.sum("n").alias("n")).groupBy("symbol").agg(best.alias("community"))
+        last, labels = labels, told.checkpoint()
+        if labels.join(last.withColumnRenamed("community", "was"), "symbol").where("community <> was").isEmpty():
+            break
     return labels

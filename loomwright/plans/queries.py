@@ -462,17 +462,38 @@ def text_windows(spark, sf_dir):
     return files.text_windows(d, max_lines=20, max_chars=6000, overlap=2)
 
 
-@query()
+_PLACES = """pairs AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+ways AS MATERIALIZED (SELECT a AS src, b AS dst FROM pairs UNION SELECT b, a FROM pairs), ends AS MATERIALIZED (SELECT src AS symbol, count(*) AS n FROM ways GROUP BY 1),
+l0 AS MATERIALIZED (SELECT symbol, arg_min(other, {'n': -n, 'o': other}) AS community FROM (SELECT src AS symbol, dst AS other, n FROM ways JOIN ends ON symbol = dst UNION ALL SELECT symbol, symbol, n FROM ends) GROUP BY symbol)"""
+_ROUND = """l{1} AS MATERIALIZED (SELECT symbol, arg_min(community, {{'n': -n, 'c': community}}) AS community FROM (SELECT symbol, community, sum(n) AS n FROM
+  (SELECT src AS symbol, community, count(*) AS n FROM ways JOIN l{0} l ON l.symbol = dst GROUP BY ALL UNION ALL SELECT symbol, community, 1 FROM l{0}) GROUP BY ALL) GROUP BY symbol)"""
+
+
+@query("WITH " + ", ".join([_PLACES, *[_ROUND.format(k, k + 1) for k in range(10)]]) + " SELECT symbol, community FROM l10")
 def communities(spark, sf_dir):
     return graph.communities(place_edges(spark, sf_dir))
 
 
-@query()
+_RAW_TEXT = "CASE conv_id % 7 WHEN 0 THEN concat(text, ' issue') WHEN 1 THEN concat(text, ' the Flow') WHEN 2 THEN concat(text, ' an audit pr') WHEN 3 THEN concat('hunt ', text) WHEN 4 THEN concat(text, ' versus') WHEN 5 THEN concat(text, ' storage policy') ELSE text END AS raw_text"
+_SHARES = ["(conv_id % 10) / 10.0 AS understand", "((conv_id * 3 + turn) % 10) / 10.0 AS change", "((conv_id * 7) % 10) / 10.0 AS evaluate", "((turn * 3) % 10) / 10.0 AS locate", "((conv_id + turn) % 5) / 10.0 AS compare"]
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_RAW_TEXT}, {', '.join(_SHARES)}, conv_id % 3 AS k FROM conversations),
+q AS (SELECT *, lower(raw_text) AS raw, lower(raw_text) || CASE k WHEN 1 THEN ' latency' WHEN 2 THEN ' hot path tour' ELSE ' ' END AS hay FROM p),
+r AS (SELECT *, contains(raw, 'fragile') OR contains(raw, 'problem') OR contains(raw, 'audit') OR contains(raw, 'security') OR contains(raw, 'vulnerab') AS fragile, contains(raw, 'issue') OR list_contains(regexp_split_to_array(raw, '\\s+'), 'pr') AS issue FROM q),
+f AS (SELECT *, list_filter([CASE WHEN understand >= 0.2 OR evaluate >= 0.2 OR locate >= 0.3 OR k > 0 THEN 'cartographer' END, CASE WHEN understand >= 0.4 OR contains(raw, 'lifecycle') OR contains(raw, 'flow') THEN 'flow_tracer' END, CASE WHEN change >= 0.4 AND issue THEN 'lane_a_issue_triage' END,
+  CASE WHEN change >= 0.3 OR evaluate >= 0.4 THEN 'lane_b_code_health' END, CASE WHEN change >= 0.3 AND (fragile OR contains(raw, 'hunt')) THEN 'lane_c_suspicion' END], lambda x: x IS NOT NULL) AS fired FROM r),
+u AS (SELECT *, CASE WHEN len(fired) = 0 THEN ['cartographer', 'lane_b_code_health'] ELSE fired END AS up FROM f)
+SELECT conv_id, turn, array_to_string(up, ',') || ',teacher' AS active,
+CASE WHEN compare >= 0.3 OR contains(raw, 'compare') OR contains(raw, 'vs ') OR contains(raw, 'versus') THEN 'comparison_table' WHEN len(list_filter(up, lambda x: starts_with(x, 'lane_'))) > 0 THEN 'ranked_list' WHEN contains(raw, 'audit') OR contains(raw, 'decision') OR contains(raw, 'dossier') THEN 'dossier' ELSE 'narrative' END AS output_shape,
+CASE WHEN NOT list_contains(up, 'cartographer') THEN NULL WHEN regexp_matches(hay, 'data|schema|model|table|storage') THEN 'data_hubs' WHEN regexp_matches(hay, 'decision|strategy|tradeoff|policy') THEN 'decision_hubs' WHEN regexp_matches(hay, 'latency|throughput|hot path|performance|perf') THEN 'hot_path' ELSE 'balanced' END AS cartographer_tilt,
+CASE WHEN NOT list_contains(up, 'lane_b_code_health') THEN NULL WHEN len(fired) > 0 AND evaluate > change THEN 'tradeoffs_visible_in_code' ELSE 'cleanup_opportunities' END AS lane_b_framing FROM u""")
 def capability_plan(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    share = lambda k: F.round(F.pmod(F.xxhash64("conv_id", "turn", F.lit(k)), F.lit(10)) / 10.0, 1)
-    weights = F.create_map(*[x for k in ("understand", "change", "evaluate", "locate", "compare") for x in (F.lit(k), share(k))])
-    profiles = c.select("conv_id", "turn", F.col("text").alias("raw_text"), weights.alias("modality_weights"), text.keywords(F.col("text"), 2).alias("focus_keywords"), F.lit("unspecified").alias("output_shape_preference"))
+    c = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", _RAW_TEXT, *_SHARES)
+    kinds = ("understand", "change", "evaluate", "locate", "compare")
+    weights = F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k).cast("double"))])
+    words = F.when(F.col("conv_id") % 3 == 1, F.array(F.lit("Latency"))).when(F.col("conv_id") % 3 == 2, F.array(F.lit("hot path"), F.lit("tour"))).otherwise(F.array().cast("array<string>"))
+    profiles = c.select("conv_id", "turn", "raw_text", weights.alias("modality_weights"), words.alias("focus_keywords"), F.lit("unspecified").alias("output_shape_preference"))
     return contribute.plan(profiles).select("conv_id", "turn", F.array_join("active", ",").alias("active"), "output_shape", "cartographer_tilt", "lane_b_framing")
 
 

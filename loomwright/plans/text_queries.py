@@ -408,3 +408,62 @@ def jaccard_sets(spark, sf_dir):
 def uncovered_lines(spark, sf_dir):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((2, 4), (6, 6))])
     return document_chunks(spark, sf_dir).select("chunk_id", text.looks_lexical(F.col("symbol")).alias("lexical"), F.size(scalar.uncovered_lines(F.col("end_line"), spans)).alias("uncovered"))
+
+
+# ---- vectors, spans, lanes and verdicts
+
+
+@query("""WITH d AS (SELECT DISTINCT sha256(text) AS text_key, length(text) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT DISTINCT sha256(text) AS text_key FROM documents WHERE doc_id % 2 = 0)
+SELECT text_key, CAST(CASE WHEN text_key IN (SELECT text_key FROM c) THEN -1 ELSE n END AS BIGINT) AS first FROM d WHERE text_key IN (SELECT text_key FROM c) OR n % 10 <> 0""")
+def embedding_cache(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    cache = d.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("text_key"), F.array(F.lit(-1.0), F.lit(0.0)).alias("vector")).distinct()
+
+    def embed(texts):
+        if any(len(t) % 10 == 0 for t in texts):
+            raise ValueError("a model that refuses some texts")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    out = retrieval.embed_missing(d.select("text"), cache, embed, dimension=2)
+    return out.select("text_key", F.col("vector")[0].cast("long").alias("first"))
+
+
+@query("""SELECT 'n' || n_nationkey AS symbol, 'nation/' || n_name AS file_path, CAST(n_nationkey + 1 AS INT) AS start_line FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey IN (SELECT c_nationkey FROM customer)""")
+def expanded_spans(spark, sf_dir):
+    e, key = place_edges(spark, sf_dir), F.col("n_nationkey")
+    chunks = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), key.cast("string")).alias("symbol"), F.concat(F.lit("nation/"), F.col("n_name")).alias("file_path"), (key + 1).cast("int").alias("start_line"), (key + 9).cast("int").alias("end_line"), key)
+    starts = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("symbol"))
+    out = graph.expand(graph.paths(e, starts), chunks, chunks.where(key % 3 == 0).select("file_path", "start_line", "end_line"))
+    return out.select("symbol", "file_path", "start_line")
+
+
+@query("""WITH m AS (SELECT p_brand, p_type || p_size % 5 AS symbol, arg_min(p_size, p_partkey) AS fan, min(p_partkey) AS o FROM part GROUP BY ALL),
+f AS (SELECT i.p_brand, i.p_partkey, arg_min(symbol, o) AS symbol, arg_min(fan, o) AS fan FROM part i JOIN m ON m.p_brand = i.p_brand AND contains('uses ' || i.p_type || i.p_size % 7, symbol) GROUP BY ALL),
+s AS (SELECT p.p_brand, p.p_partkey, f.symbol, CASE WHEN f.symbol IS NULL THEN 0.35 ELSE greatest(0, least(1, 0.85 - least(fan, 40) / 40 - 0.1 + CASE WHEN fan % 2 = 0 THEN 0.15 ELSE 0 END)) END::DOUBLE AS score FROM part p LEFT JOIN f USING (p_partkey))
+SELECT * FROM (SELECT p_brand AS repo_id, p_partkey AS number, symbol, round(score, 6) AS score, row_number() OVER (PARTITION BY p_brand ORDER BY round(score, 9) DESC, p_partkey) AS rank FROM s) WHERE rank <= 6""")
+def issue_triage(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    named = lambda n: F.concat("p_type", (F.col("p_size") % n).cast("string"))
+    issues = p.select(F.col("p_brand").alias("repo_id"), F.col("p_partkey").alias("number"), F.col("p_name").alias("title"), F.concat(F.lit("uses "), named(7)).alias("body"), F.array().cast("array<string>").alias("labels"), F.array().cast("array<string>").alias("referenced_files"))
+    m = p.groupBy(F.col("p_brand").alias("repo_id"), named(5).alias("symbol")).agg(F.min_by("p_size", "p_partkey").alias("fan_in"), F.min("p_partkey").alias("ordinal"))
+    m = m.withColumn("cyclomatic", F.lit(4)).withColumn("has_tests", F.col("fan_in") % 2 == 0)
+    return contribute.triage(issues, m).select("repo_id", "number", "symbol", _R("score").alias("score"), "rank")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unverified' WHEN event_id % 3 = 0 OR event_id % 7 = 0 OR event_type = 'error' THEN 'flagged' ELSE 'verified' END AS status FROM events")
+def claim_status(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    decision = F.when(k % 7 == 0, F.lit(None)).when(F.col("event_type") == "error", "rejected").otherwise("verified")
+    return contribute.verify_status(e.select("event_id", decision.alias("decision"), (k % 5 == 0).alias("provider_error"), (k % 3).alias("n_chunks"))).select("event_id", "status")
+
+
+@query("SELECT 'Investigate structural risk around ' || p_name || '/' || p_partkey AS title, p_name || '/' || p_partkey AS file_path FROM part WHERE p_name LIKE '%ring%' ORDER BY p_partkey LIMIT 5")
+def suspicion_lane(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("file_path"), F.lit(None).cast("string").alias("symbol"))
+    return contribute.suspicions(p, ["RING"]).select("title", "file_path")
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT src AS symbol, type, 'in' AS way FROM edges WHERE dst = 'p1' UNION ALL SELECT DISTINCT dst, type, 'out' FROM edges WHERE src = 's1'")
+def callers_and_callees(spark, sf_dir):
+    e = trade_edges(spark, sf_dir)
+    return graph.callers(e, "p1").withColumn("way", F.lit("in")).unionByName(graph.callees(e, "s1").withColumn("way", F.lit("out")))
