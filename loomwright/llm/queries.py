@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_formatting
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .line_dedup import op8_line_dedup
 from .mixing import op9_mixing
 from .near_dup import op2_near_duplicates, oracle_sql as op2_sql
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op3_chat_formatting": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
     "op10_topk": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }

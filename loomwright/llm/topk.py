@@ -118,11 +118,11 @@ def search(x, ids, q, qid, k: int, floor=None) -> _Best:
     return best
 
 
-def _usable(df: DataFrame, ident: str, vector: str, scale: float | None) -> DataFrame:
+def _usable(df: DataFrame, ident: str, vector: str, scale: float | None, *more: str) -> DataFrame:
     v = F.col(vector)
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     out = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")) if scale else F.transform(v, lambda x: x.cast("double"))
-    return df.where(ok & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), out.alias("v"))
+    return df.where(ok & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), out.alias("v"), *more)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, ident: str = "vec_id", vector: str = "embedding", scale: float | None = None, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
