@@ -11,6 +11,7 @@ from .pieces import op4_sentencepiece
 from .quality_model import op1_quality_classifier
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sharding import op7_sharding
+from .substrings import OP12_SQL, op12_substring_dedup
 from .topk import OP10_SQL, op10_topk
 from .warc import op6_warc_derivatives
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op5_quality_rules": OP5_SQL,
     "op10_topk": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL,
 }
