@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.constants import EDGE_PRIORITY, NEIGHBOUR_ORDER
+from ..storage import shared_folder
 
 LOADED = ("calls", "imports", "inherits")
 
@@ -152,15 +151,11 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
     Symbols start with the label of their best connected neighbour, or their own if none has more
     edges, which keeps neighbours from swapping labels forever. Deterministic for any partitioning; a
-    label is the name of a member. It ends once no label changes; labels that still swap are those of
-    `rounds` rounds. Lineage is cut each round in the checkpoint folder, which has to be set on a cluster.
+    label is the name of a member. `rounds` rounds are the definition, not a limit of effort: it ends earlier if
+    no label changes any more. `communities.louvain` settles without a limit. Lineage is cut each round in
+    the checkpoint folder, which has to be set on a cluster.
     """
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(edges.sparkSession)
     pairs = edges.select("src", "dst").where("src <> dst")
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     ends = both.groupBy(F.col("src").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))

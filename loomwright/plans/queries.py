@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, text
 from ..functions.constants import STOPWORDS
-from ..operators import contribute, evaluation, graph, ledger, retrieval
+from ..operators import communities as layered, contribute, evaluation, graph, ledger, retrieval, stored_index
 from ..operators.filters import corpus_filter
 from ..sources import files, python_code
+from ..storage import fresh_folder
 from .views import document_chunks, order_chunks, place_edges, questions, table, trade_edges
 
 QUERIES: dict[str, Callable] = {}
@@ -474,6 +475,48 @@ def communities(spark, sf_dir):
     return graph.communities(place_edges(spark, sf_dir))
 
 
+@query(f"WITH {_CHUNKS}, {_QUESTIONS}, {_TERMS}, {_POSTINGS}, {_SPARSE} SELECT query_id, rank, chunk_id, score FROM sparse WHERE rank <= 50")
+def stored_keyword_rank(spark, sf_dir):
+    """The keyword ranking from blocks of postings on disk, skipping what cannot win."""
+    root = fresh_folder(spark, "stored-index")
+    stored_index.write(document_chunks(spark, sf_dir), root)
+    top = stored_index.StoredIndex(spark, root).top_k(questions(spark, sf_dir), 50)
+    return top.select("query_id", "rank", F.col("id").alias("chunk_id"), _R("score").alias("score"))
+
+
+_SPOTS = """spots AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+_REGIONS = """near AS (SELECT src, dst FROM spots UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+  homes AS (SELECT 'n' || n_nationkey AS symbol, 'r' || n_regionkey AS community FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION ALL SELECT src, 'r' || n_regionkey FROM spots JOIN nation ON dst = 'n' || n_nationkey)"""
+
+
+def _homes(spark, sf_dir) -> DataFrame:
+    """Places labelled by their region."""
+    edges, n = place_edges(spark, sf_dir), table(spark, sf_dir, "nation")
+    label = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("community"))
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("symbol")).withColumn("community", F.col("symbol"))
+    return edges.join(label, "dst").select(F.col("src").alias("symbol"), "community").unionByName(label.select(F.col("dst").alias("symbol"), "community")).unionByName(regions)
+
+
+@query(f"WITH {_SPOTS} SELECT symbol, min(symbol) OVER (PARTITION BY dst) AS community FROM (SELECT src AS symbol, dst FROM spots UNION SELECT dst, dst FROM spots)")
+def louvain_communities(spark, sf_dir):
+    """Customers and suppliers around their nations: each nation is one community."""
+    return layered.louvain(place_edges(spark, sf_dir).where(F.col("dst").startswith("n")))
+
+
+@query(f"""WITH {_SPOTS}, {_REGIONS}, e AS (SELECT a.community AS x, b.community AS y FROM near JOIN homes a ON a.symbol = src JOIN homes b ON b.symbol = dst),
+d AS (SELECT c, count(*) AS ends FROM (SELECT x AS c FROM e UNION ALL SELECT y FROM e) GROUP BY c)
+SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM d) AS communities, round((SELECT count(*) FILTER (x = y) / count(*) FROM e) - (SELECT sum(ends * ends) FROM d) / (4.0 * (SELECT count(*) FROM e) ** 2), 9) AS modularity""")
+def community_modularity(spark, sf_dir):
+    return layered.modularity(place_edges(spark, sf_dir), _homes(spark, sf_dir)).withColumn("modularity", _R("modularity", 9))
+
+
+@query(f"""WITH {_SPOTS}, {_REGIONS}, d AS (SELECT symbol, count(*) AS degree FROM (SELECT src AS symbol FROM near UNION ALL SELECT dst FROM near) GROUP BY symbol),
+r AS (SELECT community, count(*) OVER (PARTITION BY community) AS size, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, symbol) AS rank, symbol, coalesce(degree, 0) AS degree FROM homes LEFT JOIN d USING (symbol))
+SELECT * FROM r WHERE rank <= 4""")
+def community_layers(spark, sf_dir):
+    return layered.layers(_homes(spark, sf_dir), place_edges(spark, sf_dir), 4)
+
+
 _RAW_TEXT = "CASE conv_id % 7 WHEN 0 THEN concat(text, ' issue') WHEN 1 THEN concat(text, ' the Flow') WHEN 2 THEN concat(text, ' an audit pr') WHEN 3 THEN concat('hunt ', text) WHEN 4 THEN concat(text, ' versus') WHEN 5 THEN concat(text, ' storage policy') ELSE text END AS raw_text"
 _SHARES = ["(conv_id % 10) / 10.0 AS understand", "((conv_id * 3 + turn) % 10) / 10.0 AS change", "((conv_id * 7) % 10) / 10.0 AS evaluate", "((turn * 3) % 10) / 10.0 AS locate", "((conv_id + turn) % 5) / 10.0 AS compare"]
 
