@@ -5,7 +5,8 @@ between them, k their degrees and m the weight of all edges; modularity is the s
 (and a constant), so gains are exact.
 
 A round of moves is a set of joins for all nodes at once. Moves made together disturb each other, so
-a round colours communities by a hash: only nodes of giving communities move, and only to taking ones. Then
+a round looks only at moves up an order of communities (by total degree in even rounds, by a hash in odd
+ones), and of these makes none to a community that some node wants to leave. Then
 two moves disturb each other only where they share the giver or the taker, each time by k(u) k(v) at most.
 Moves are put in order of gain by degree, and one stands if its gain is larger than what all moves
 before it could take from it. So every round raises modularity; where a round accepts nothing, the single
@@ -38,17 +39,18 @@ def simple(edges: DataFrame) -> DataFrame:
 
 
 def _moves(nodes: DataFrame, links: DataFrame, two_m: int, turn: int) -> DataFrame:
-    """a, k, c, any_to, any_gain (best move of each node), to, gain (best one that this turn's colours allow)."""
+    """a, k, c, any_to, any_gain (best move of each node), to, gain (best one up the order of this turn)."""
     total = nodes.groupBy("c").agg(F.sum("k").alias("total"))
     here = nodes.join(total, "c")
     at = links.join(nodes.select(F.col("id").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
     at = at.join(total.select(F.col("c").alias("to"), F.col("total").alias("to_total")), "to").join(here.withColumnRenamed("id", "a"), "a")
     value = F.lit(two_m) * F.col("w") - F.col("k") * F.col("to_total")
     other = F.col("to") != F.col("c")
-    gives = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2)) == 0
+    drawn = lambda c: F.xxhash64(F.lit(turn), c)
+    up = drawn(F.col("to")) > drawn(F.col("c")) if turn % 2 else F.struct("to_total", "to") > F.struct("total", "c")
     best = lambda ok: F.min(F.when(other & ok, F.struct((-value).alias("v"), "to")))
     stay = F.lit(two_m) * F.coalesce(F.sum(F.when(~other, F.col("w"))), F.lit(0)) - F.first("k") * (F.first("total") - F.first("k"))
-    told = at.groupBy("a").agg(F.first("k").alias("k"), F.first("c").alias("c"), stay.alias("stay"), best(F.lit(True)).alias("x"), best(gives(F.col("c")) & ~gives(F.col("to"))).alias("y"))
+    told = at.groupBy("a").agg(F.first("k").alias("k"), F.first("c").alias("c"), stay.alias("stay"), best(F.lit(True)).alias("x"), best(up).alias("y"))
     gain = lambda s: -F.col(f"{s}.v") - F.col("stay")
     return told.select("a", "k", "c", F.col("x.to").alias("any_to"), gain("x").alias("any_gain"), F.col("y.to").alias("to"), gain("y").alias("gain"))
 
@@ -56,7 +58,8 @@ def _moves(nodes: DataFrame, links: DataFrame, two_m: int, turn: int) -> DataFra
 def _accepted(moves: DataFrame) -> DataFrame:
     """id, to of the moves that stand whatever the others do."""
     rank = F.floor(F.log2(F.col("gain") / F.col("k"))).cast("int")
-    ready = moves.where("gain > 0").withColumn("rank", rank).withColumn("step", F.pmod(F.xxhash64("a"), F.lit(STEPS)).cast("int"))
+    wish = moves.where("gain > 0")
+    ready = wish.join(wish.select(F.col("c").alias("to")).distinct(), "to", "left_anti").withColumn("rank", rank).withColumn("step", F.pmod(F.xxhash64("a"), F.lit(STEPS)).cast("int"))
 
     def before(side: str) -> DataFrame:
         sums = ready.groupBy(side, "rank", "step").agg(F.sum("k").alias("n"))
