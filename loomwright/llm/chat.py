@@ -55,36 +55,58 @@ def conversation_tree(rows: DataFrame) -> DataFrame:
     return numbered.select(F.col("conv_id").alias("tree_id"), "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def root_paths(nodes: DataFrame) -> DataFrame:
+def _rooted(keyed: DataFrame, links: DataFrame, tree: list[str], work: Scratch) -> DataFrame:
+    """tree, n of the nodes whose ancestors end at a root.
+
+    Every node that isn't known to be rooted yet points to an ancestor, twice as far up in each round;
+    where that is rooted, so is the node. Of rooted nodes deeper than a round reaches, some lie within
+    the next round's reach, so a round that finds none leaves only cycles and what hangs on them.
+    """
+    found = keyed.select(*tree, F.col("node_id").alias("n")).join(links.select(*tree, "n"), [*tree, "n"], "left_anti")
+    known, jump = work.cut(found), links
+    while True:
+        up = known.select(*tree, F.col("n").alias("a"), F.lit(True).alias("rooted"))
+        told = work.cut(jump.join(up, [*tree, "a"], "left"))
+        new = told.where("rooted").select(*tree, "n")
+        if new.isEmpty():
+            return known
+        rest = told.where("rooted is null").select(*tree, "n", "a")
+        last = (known, jump) if jump is not links else (known,)
+        known, jump = work.cut(known.unionByName(new)), work.cut(rest.join(told.select(*tree, F.col("n").alias("a"), F.col("a").alias("b")), [*tree, "a"]).select(*tree, "n", F.col("b").alias("a")))
+        work.drop(told, *last)
+
+
+def root_paths(nodes: DataFrame, *, acyclic: bool = False) -> DataFrame:
     """(tree_id, leaf, node_id, up): every node on the path of every leaf, `up` steps above it.
 
-    nodes: tree_id, node_id, parent_id, unique by (tree_id, node_id).
+    nodes: tree_id, node_id, parent_id, unique by (tree_id, node_id). acyclic: parents are known to form
+    no cycles, so that they need not be looked for.
     """
     # A null tree is a tree too: a flag beside the key makes plain equality hold for it.
     keyed = nodes.select(F.coalesce(F.col("tree_id").cast("string"), F.lit("")).alias("t"), F.col("tree_id").isNull().alias("tn"), "node_id", "parent_id")
     tree, work = ["t", "tn"], Scratch(nodes.sparkSession)
     parents = keyed.select(*tree, F.col("node_id").alias("p"))
     links = work.cut(keyed.where("parent_id is not null").join(parents.withColumnRenamed("p", "parent_id"), [*tree, "parent_id"], "left_semi").select(*tree, F.col("node_id").alias("n"), F.col("parent_id").alias("a")))
-    leaves = keyed.join(links.select(*tree, F.col("a").alias("node_id")).distinct(), [*tree, "node_id"], "left_anti")
+    leaves = keyed.join(links.select(*tree, F.col("a").alias("node_id")).distinct(), [*tree, "node_id"], "left_anti").select(*tree, "node_id")
+    if not acyclic:
+        rooted = _rooted(keyed, links, tree, work)
+        links = work.cut(links.join(rooted, [*tree, "n"], "left_semi"))
+        leaves = leaves.join(rooted.withColumnRenamed("n", "node_id"), [*tree, "node_id"], "left_semi")
     pairs = work.cut(leaves.select(*tree, F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up")))
     jump, reach = links, 1
-    for _ in range(64):
-        if jump.isEmpty():
-            break
+    while not jump.isEmpty():
         further = pairs.join(jump.withColumnRenamed("n", "node_id"), [*tree, "node_id"]).select(*tree, "leaf", F.col("a").alias("node_id"), (F.col("up") + reach).alias("up"))
-        pairs = work.cut(pairs.unionByName(further))
         onward = jump.select(*tree, F.col("n").alias("m"), F.col("a").alias("n"))
-        jump, reach = work.cut(onward.join(jump, [*tree, "n"]).select(*tree, F.col("m").alias("n"), "a")), reach * 2
-        if reach > 2**20 and jump.where("n = a").limit(1).count():
-            break  # only cycles are this long
-    rooted = pairs.join(links.select(*tree, F.col("n").alias("node_id")), [*tree, "node_id"], "left_anti").select(*tree, "leaf").distinct()
-    return pairs.join(rooted, [*tree, "leaf"], "left_semi")
+        last = (pairs, jump)
+        pairs, jump, reach = work.cut(pairs.unionByName(further)), work.cut(onward.join(jump, [*tree, "n"]).select(*tree, F.col("m").alias("n"), "a")), reach * 2
+        work.drop(*last)
+    return work.finish(pairs)
 
 
-def branches(nodes: DataFrame, *, best: int | None = None) -> DataFrame:
+def branches(nodes: DataFrame, *, best: int | None = None, acyclic: bool = False) -> DataFrame:
     """One row a chosen path: tree_id, leaf, branch_rank, path_score, turns (role, text from the root)."""
     data = nodes.select(F.coalesce(F.col("tree_id").cast("string"), F.lit("")).alias("t"), F.col("tree_id").isNull().alias("tn"), "tree_id", "node_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
-    paths = root_paths(nodes)
+    paths = root_paths(nodes, acyclic=acyclic)
     scores = paths.join(data.select("t", "tn", "node_id", "score"), ["t", "tn", "node_id"]).groupBy("t", "tn", "leaf").agg(F.avg("score").alias("path_score"))
     rank = F.row_number().over(Window.partitionBy("t", "tn").orderBy(F.col("path_score").desc(), "leaf"))
     chosen = scores.withColumn("branch_rank", rank)
@@ -129,7 +151,7 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans for linear conversations."""
-    return format_turns(branches(conversation_tree(rows), best=1)).select(F.col("tree_id").alias("conv_id"), "formatted", "loss_spans")
+    return format_turns(branches(conversation_tree(rows), best=1, acyclic=True)).select(F.col("tree_id").alias("conv_id"), "formatted", "loss_spans")
 
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:

@@ -35,6 +35,17 @@ def test_round_trip(hostile):
         assert got[c]["formatted"].count(chat.START) == len(rows)
 
 
+@pytest.mark.parametrize("ring", [2, 3, 5, 6])
+def test_cycles_end(spark, ring):
+    """Cycles of any length with chains and many leaves hanging on them reach no root; deep rooted chains all do."""
+    nodes = [(1, i, (i + 1) % ring, "user", "x", 0.0) for i in range(ring)]
+    nodes += [(1, 100 + i, i % ring, "user", "x", 0.0) for i in range(200)] + [(1, 400 + i, 399 + i, "user", "x", 0.0) for i in range(1, 9)] + [(1, 400, 0, "user", "x", 0.0)]
+    nodes += [(1, 1000 + i, 999 + i if i else None, "user", "x", 0.0) for i in range(37)] + [(2, i, i - 1 if i else None, "user", "x", 0.0) for i in range(5)]
+    df = spark.createDataFrame(nodes, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    got = sorted((r["t"], r["leaf"], r["node_id"], r["up"]) for r in chat.root_paths(df).collect())
+    assert got == sorted([("1", 1036, 1000 + i, 36 - i) for i in range(37)] + [("2", 4, i, 4 - i) for i in range(5)])
+
+
 def test_reply_trees(spark):
     nodes = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 3, 1, "assistant", "b", 5.0), ("t", 4, 3, "user", "c", 1.0), ("t", 5, 4, "assistant", "d", None), ("u", 1, 9, "user", "orphan", 1.0), ("w", 1, 2, "user", "x", 1.0), ("w", 2, 1, "user", "y", 1.0), ("w", 3, 1, "user", "z", 1.0)]
     df = spark.createDataFrame(nodes, "tree_id string, node_id long, parent_id long, role string, text string, score double")
