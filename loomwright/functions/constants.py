@@ -69,3 +69,15 @@ SOURCE_HEAD, NO_SOURCES = "SOURCE BUNDLE (grounded — reuse refs verbatim):", "
 NO_HUB_NAMES, NO_ENTRY_NAMES = "no dominant hubs yet", "no clear entry points"
 # Limits of flow tracing, rechecks, compression and section retries; the note of a provider that failed.
 TRACE_TARGETS, TRACE_PATHS, RECHECK_REFS, COMPRESS_LINES, SECTION_RETRIES = 5, 3, 8, 15, 2
+# Patterns of identifiers in a question, of repository addresses, and of phrases too certain for a suspicion.
+IDENTIFIER_IN_QUESTION = (
+    r"(?:[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)"
+    r"|(?:[A-Za-z0-9]+_[A-Za-z0-9_]+)"
+    r"|(?:\b[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)"
+    r"|(?:\b[A-Z]{2,}[a-z][A-Za-z0-9]*)"
+)
+REPO_URL = r"^https?://github\.com/([\w.-]+)/([\w.-]+?)(?:\.git)?/?$"
+TOO_CERTAIN = r"(?i)\b(?:bug|broken|will\s+crash|obviously\s+wrong)\b"
+# The note that ends a shortened chunk; what a suspicion says.
+SHORTENED = "\n… (chunk truncated for prompt size)"
+SUSPICION_TITLE, SUSPICION_STEP = "Investigate structural risk around {}", "to_confirm: reproduce the behavior around {} before opening a PR."

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spellings
 from ..functions import scalar, text
 from ..functions.constants import (
-    FRAGILITY_TERMS, HUB_BIAS_TERMS, LANES, RANKER_DEFAULT, RANKER_EVEN, RANKER_HUNT, RANKER_ISSUE,
+    FRAGILITY_TERMS, HUB_BIAS_TERMS, LANES, RANKER_DEFAULT, RANKER_EVEN, RANKER_HUNT, RANKER_ISSUE, SUSPICION_STEP, SUSPICION_TITLE,
 )
 
 
@@ -65,15 +66,17 @@ def triage(issues: DataFrame, metrics: DataFrame, focus: list[str] | None = None
 
     issues: repo_id, number, title, body, labels, referenced_files; metrics: repo_id, ordinal, symbol,
     fan_in, cyclomatic, has_tests. An issue takes the first symbol that its body or a referenced path
-    spells anywhere, so issues and symbols of one repository meet by an equi join and a substring test.
+    spells anywhere. Automata of the repository's symbols find it, each issue being read once for each shard of
+    symbols. Of metrics with one ordinal, one is taken.
     """
     listed = F.array_join("referenced_files", " ")
     if focus:
         hay = F.concat_ws(" ", "title", "body", F.array_join("labels", " "), listed)
         issues = issues.where(text.contains_any(hay, F.array(*map(F.lit, focus))))
     spelt = issues.select(key, "number", "title", F.concat_ws("\n", "body", F.array_join("referenced_files", "\n")).alias("hay"))
-    found = spelt.join(metrics, key, "left").where(F.col("symbol").isNull() | F.contains("hay", F.col("symbol")))
-    first = found.where("symbol IS NOT NULL").groupBy(key, "number").agg(F.min_by(F.struct("symbol", "fan_in", "cyclomatic", "has_tests"), "ordinal").alias("m"))
+    found = spellings.spelt(spelt.select(F.col(key).alias("key"), F.col("number").alias("text_id"), "hay"), metrics.select(F.col(key).alias("key"), F.col("ordinal").alias("word_id"), F.col("symbol").alias("word")), first=True)
+    known = metrics.groupBy(key, "ordinal").agg(F.min(F.struct("symbol", "fan_in", "cyclomatic", "has_tests")).alias("m"))
+    first = found.select(F.col("key").alias(key), F.col("text_id").alias("number"), F.col("word_id").alias("ordinal")).join(known, [key, "ordinal"]).select(key, "number", "m")
     scored = spelt.select(key, "number", "title").join(first, [key, "number"], "left")
     score = F.when(F.col("m").isNull(), 0.35).otherwise(scalar.approachability(F.col("m.fan_in"), F.col("m.cyclomatic"), F.col("m.has_tests")))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "number"))
@@ -99,12 +102,13 @@ def suspicions(refs: DataFrame, focus: list[str] | None = None, limit: int = 5)
     """First refs(ordinal, file_path, symbol) in focus, in guarded words, with a step to confirm."""
     focus_col = F.array(*map(F.lit, focus)) if focus else F.array().cast("array<string>")
     name = F.coalesce("symbol", "file_path")
-    title = F.concat(F.lit("Investigate structural risk around "), name)
+    said = lambda sentence: F.concat(F.lit(sentence.partition("{}")[0]), name, F.lit(sentence.partition("{}")[2]))
+    title = said(SUSPICION_TITLE)
     rows = refs.where(text.contains_any(F.concat_ws(" ", "file_path", "symbol"), focus_col)).where(text.overclaim(title).isNull())
     return rows.orderBy("ordinal").limit(limit).select(
         F.lit("C_suspicion").alias("lane"), title.alias("title"), "file_path", F.lit("M").alias("difficulty"), F.lit("module-scoped").alias("blast_radius"),
         F.lit(0.45).alias("mergeability"), F.lit(0.55).alias("approachability"), F.lit(0.65).alias("evidence_strength"),
-        F.concat(F.lit("to_confirm: reproduce the behavior around "), name, F.lit(" before opening a PR.")).alias("confirm_before_pr"))
+        said(SUSPICION_STEP).alias("confirm_before_pr"))
 
 
 def rank_opportunities(opportunities: DataFrame, weights: dict[str, float] | None = None, limit: int | None = None, *, partition: str | None = None) -> DataFrame:

@@ -132,18 +132,30 @@ def neighbour_names(chunks: DataFrame, edges: DataFrame, limit: int = 5) -> Data
     return joined.withColumn("neighbor_symbols", F.slice(F.array_distinct(F.coalesce(pick, empty)), 1, limit)).drop("calls", "inherits", "imports")
 
 
-def metrics(edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """symbol, fan_in, fan_out, churn, has_tests for every chunk symbol; symbols without edges have zeros.
+def metrics(edges: DataFrame, chunks: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """symbol, fan_in, fan_out, cyclomatic, churn, has_tests of symbols(symbol), by default all chunk symbols.
 
-    Test mentions match words of test chunks that contain the short name; test text is exploded into
-    words, so no symbol meets every chunk.
+    Symbols without edges or chunks have zeros. Complexity is that of a symbol's first chunk (by file, then by
+    start_line where there is one). A symbol has tests if the content of any test chunk holds its short name,
+    anywhere and with underscores standing for any character. churn is always 0.
     """
+    from ..sources.python_code import cyclomatic
     from .filters import mentions_test
+    from .spellings import spelt_somewhere
 
-    symbols = chunks.select("symbol").distinct().withColumn("short", text.short_name(F.col("symbol")))
-    tested = chunks.where(mentions_test(F.col("file_path"))).select(F.explode(F.array_distinct(text.identifiers(F.col("content")))).alias("short")).distinct()
-    known = symbols.join(tested.withColumn("has_tests", F.lit(True)), "short", "left").join(degrees(loaded(edges)), "symbol", "left")
-    return known.select("symbol", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"), F.lit(0).alias("churn"), F.coalesce("has_tests", F.lit(False)).alias("has_tests"))
+    asked = (chunks if symbols is None else symbols).where("symbol IS NOT NULL").select("symbol").distinct().withColumn("name", text.short_name(F.col("symbol")))
+    place = F.struct("file_path", *(["start_line"] if "start_line" in chunks.columns else []), "content")
+    first = chunks.groupBy("symbol").agg(F.min(place).alias("first")).join(asked.select("symbol"), "symbol", "left_semi")
+
+    @F.pandas_udf("int")
+    def points(content):
+        return content.map(lambda x: cyclomatic(x) if x else 0).astype("int32")
+
+    complexity = first.select("symbol", points(F.col("first.content")).alias("cyclomatic"))
+    tested = spelt_somewhere(asked, chunks.where(mentions_test(F.col("file_path"))).select(F.col("content").alias("hay"))).withColumn("has_tests", F.lit(True))
+    known = asked.join(tested, "name", "left").join(degrees(loaded(edges)), "symbol", "left").join(complexity, "symbol", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return known.select("symbol", zero("fan_in"), zero("fan_out"), zero("cyclomatic"), F.lit(0).alias("churn"), F.coalesce("has_tests", F.lit(False)).alias("has_tests"))
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:

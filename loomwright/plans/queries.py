@@ -247,6 +247,21 @@ def fan_in_out(spark, sf_dir):
     return graph.degrees(trade_edges(spark, sf_dir))
 
 
+@query(f"""WITH {_EDGES}, p AS (SELECT DISTINCT src, dst FROM edges), d AS (SELECT symbol, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT src AS symbol, 0 AS i, 1 AS o FROM p UNION ALL SELECT dst, 1, 0 FROM p) GROUP BY symbol),
+asked AS (SELECT 'p' || p_partkey AS symbol, 2 * (p_size % 4) + CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS cyclomatic FROM part UNION ALL SELECT 's' || s_suppkey, 1 FROM supplier UNION ALL SELECT 'pkg.r' || r_regionkey, 0 FROM region),
+tests AS (SELECT 'assert p' || s_suppkey * 7 AS content FROM supplier)
+SELECT symbol, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, CAST(cyclomatic AS INT) AS cyclomatic, 0 AS churn, EXISTS (SELECT 1 FROM tests WHERE contains(content, regexp_extract(asked.symbol, '[^.]*$'))) AS has_tests FROM asked LEFT JOIN d USING (symbol)""")
+def graph_metrics(spark, sf_dir):
+    """Parts as symbols of branching code, suppliers as tests that mention parts, and regions without code."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    tested = F.concat(F.lit("assert p"), (F.col("s_suppkey") * 7).cast("string"))
+    code = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("symbol"), F.concat("p_brand", F.lit(".py")).alias("file_path"), F.repeat(F.lit("if a and b:\n    x\n"), (F.col("p_size") % 4).cast("int")).alias("content"))
+    tests = supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("symbol"), F.concat(F.lit("tests/t"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file_path"), tested.alias("content"))
+    chunks = code.unionByName(tests)
+    asked = chunks.select("symbol").unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("pkg.r"), F.col("r_regionkey").cast("string")).alias("symbol")))
+    return graph.metrics(trade_edges(spark, sf_dir), chunks, asked)
+
+
 @query(f"WITH {_EDGES} SELECT dst AS symbol, count(DISTINCT src) AS score FROM edges WHERE type = 'calls' GROUP BY 1 ORDER BY score DESC, symbol LIMIT 20")
 def graph_hubs(spark, sf_dir):
     return graph.hubs(trade_edges(spark, sf_dir))

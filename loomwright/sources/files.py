@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from fnmatch import fnmatch
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.constants import SKIP_FOLDERS, WINDOW_CHARS, WINDOW_LINES, WINDOW_OVERLAP
+from .labelled import ordinals
 
 WINDOW_SCHEMA = "file_path string, symbol string, kind string, start_line int, end_line int, content string, enriched_text string, signature string, n_lines int"
 
@@ -43,8 +44,7 @@ def scan(spark, root: str, *, glob: str = "*") -> DataFrame:
 def discover(files: DataFrame) -> DataFrame:
     """Adds language and the canonical ordinal by path; files of no known language go."""
     known = files.withColumn("language", F.when(F.col("file_path").endswith(".py"), F.lit("python")).otherwise(text.language_of(F.col("file_path")))).where("language IS NOT NULL")
-    order = known.select("file_path", F.row_number().over(Window.orderBy("file_path")).alias("ordinal"))
-    return known.join(order, "file_path")
+    return known.join(ordinals(known.select("file_path"), "file_path"), "file_path")
 
 
 def readable(files: DataFrame, *, max_bytes: int = 1_000_000, max_line: int = WINDOW_CHARS) -> DataFrame:
@@ -99,12 +99,3 @@ def parse_repo_urls(df: DataFrame, column: str = "url") -> DataFrame:
     """Adds owner and name; rows that aren't repository addresses go."""
     out = df.withColumn("owner", text.repo_owner(F.col(column))).withColumn("name", text.repo_name(F.col(column)))
     return out.where("owner IS NOT NULL AND name IS NOT NULL")
-
-
-def read_jsonl(spark, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON Lines file by schema; anything that isn't an object fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-
-
-def take_rows(df: DataFrame, n: int | None, order: str) -> DataFrame:
-    return df if n is None else df.orderBy(order).limit(n)

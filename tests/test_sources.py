@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.plans import ask, index
-from loomwright.sources import files, python_code, tables
+from loomwright.sources import files, labelled, python_code, tables
 
 
 @pytest.fixture
@@ -140,10 +140,10 @@ def test_ask(spark):
 def test_jsonl(spark, tmp_path):
     p = tmp_path / "x.jsonl"
     p.write_text('{"question": "a"}\n\n{"question": "b"}\n')
-    assert files.read_jsonl(spark, str(p), "question string").count() == 2
+    assert labelled.checked(labelled.json_rows(labelled.numbered_lines(spark, str(p)), "question string")).count() == 2
     p.write_text('{"question": "a"}\n[1\n')
     with pytest.raises(Exception):
-        files.read_jsonl(spark, str(p), "question string").collect()
+        labelled.checked(labelled.json_rows(labelled.numbered_lines(spark, str(p)), "question string")).collect()
 
 
 def test_stream_ledger(spark, tmp_path):
