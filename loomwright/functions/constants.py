@@ -81,3 +81,8 @@ TOO_CERTAIN = r"(?i)\b(?:bug|broken|will\s+crash|obviously\s+wrong)\b"
 # The note that ends a shortened chunk; what a suspicion says.
 SHORTENED = "\n… (chunk truncated for prompt size)"
 SUSPICION_TITLE, SUSPICION_STEP = "Investigate structural risk around {}", "to_confirm: reproduce the behavior around {} before opening a PR."
+# Labels of the block that opens every prompt.
+GOAL_HEAD, PLAN_HEAD = "USER GOAL (verbatim, do not rephrase):", "PLAN TILT (set by the deterministic planner — honor it):"
+GOAL_WEIGHTS, GOAL_KEYWORDS, GOAL_AUDIENCE, GOAL_SUCCESS = "  modality_weights: ", "  focus_keywords:   ", "  audience:         ", "  success looks like: "
+PLAN_ACTIVE, PLAN_SHAPE, PLAN_HUBS = "  - active capabilities: ", "  - output shape:        ", "  - cartographer hub bias: "
+PLAN_TARGETS, PLAN_LANE_B, NO_WEIGHTS, NO_KEYWORDS = "  - flow-tracer targets: ", "  - lane-B framing: ", "(none stated)", "(none)"

@@ -79,6 +79,51 @@ def first_json_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def _kind(value: Column) -> Column:
+    """Type of a JSON value (OBJECT<..>, STRING, VOID, ...); null where there is none."""
+    return F.schema_of_variant(value)
+
+
+def parsed_json(text: Column) -> Column:
+    """The JSON value that a text is, as a variant; null if it is none, or if anything follows it."""
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # the parser ignores what follows a value
+    return F.when(F.try_variant_get(held, "$[1]", "variant").isNull(), F.try_variant_get(held, "$[0]", "variant"))
+
+
+def json_objects(text: Column) -> Column:
+    """The objects of the widest [...] in free text, as an array of variants; empty if it is no JSON array."""
+    parsed = parsed_json(F.regexp_extract(text, r"(?s)\[.*\]", 0))
+    items = F.when(_kind(parsed).startswith("ARRAY"), F.try_variant_get(parsed, "$", "array<variant>"))
+    return F.filter(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.coalesce(_kind(x).startswith("OBJECT"), F.lit(False)))
+
+
+def _reply(text: Column, field: str, allowed: list[str]) -> tuple[Column, Column, Column]:
+    """Of the widest {...}: the object, whether it fits (an allowed word in `field`, reason a string), and reason."""
+    parsed = parsed_json(first_json_object(text))
+    of = lambda name: F.try_variant_get(parsed, f"$.{name}", "variant")
+    word = F.when(_kind(of(field)) == "STRING", F.try_variant_get(parsed, f"$.{field}", "string"))
+    reason = F.when(_kind(of("reason")) == "STRING", F.try_variant_get(parsed, "$.reason", "string"))
+    fits = F.coalesce(word.isin(*allowed), F.lit(False)) & (of("reason").isNull() | reason.isNotNull())
+    return parsed, fits, F.struct(word.alias(field), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def sufficiency(text: Column) -> Column:
+    """decision, reason, next_symbol of a judge's reply; one that can't be read counts as sufficient, the reason telling why."""
+    parsed, fits, told = _reply(text, "decision", ["sufficient", "insufficient"])
+    kind = _kind(F.try_variant_get(parsed, "$.next_symbol", "variant"))
+    symbol = F.when(kind == "STRING", F.try_variant_get(parsed, "$.next_symbol", "string"))
+    fits = fits & F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+    reply = lambda decision, reason, nxt: F.struct(decision.alias("decision"), reason.alias("reason"), nxt.cast("string").alias("next_symbol"))
+    failed = lambda why: reply(F.lit("sufficient"), F.lit(why), F.lit(None))
+    return F.when(parsed.isNull(), failed("parse_error")).when(fits, reply(told["decision"], told["reason"], symbol)).otherwise(failed("schema_error"))
+
+
+def actionability(text: Column) -> Column:
+    """verdict, reason of a rubric's reply; null if it can't be read."""
+    _, fits, told = _reply(text, "verdict", ["actionable", "not_actionable"])
+    return F.when(fits, told)
+
+
 def verdict(text: Column, allowed: list[str]) -> Column:
     """First valid decision among the flat objects of the text, then its widest span."""
     flat = F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0))

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import (
-    CONTEXT_FILE_NAMES, IDENTIFIER_IN_QUESTION, INTENT_WORDS, MULTI_HOP_PHRASES, NO_ENTRY_NAMES, NO_HUB_NAMES, REPO_URL, SHORTENED, SOURCE_LANGUAGES, STOPWORDS, TOO_CERTAIN,
+    CONTEXT_FILE_NAMES, GOAL_AUDIENCE, GOAL_HEAD, GOAL_KEYWORDS, GOAL_SUCCESS, GOAL_WEIGHTS, IDENTIFIER_IN_QUESTION, INTENT_WORDS, MULTI_HOP_PHRASES, NO_ENTRY_NAMES, NO_HUB_NAMES,
+    NO_KEYWORDS, NO_WEIGHTS, PLAN_ACTIVE, PLAN_HEAD, PLAN_HUBS, PLAN_LANE_B, PLAN_SHAPE, PLAN_TARGETS, REPO_URL, SHORTENED, SOURCE_LANGUAGES, STOPWORDS, TOO_CERTAIN,
 )
 
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
@@ -287,3 +288,26 @@ def weighted_terms(weights: Column) -> Column:
     """`name=0.50, ...` by weight, then name."""
     pairs = F.array_sort(F.transform(F.map_entries(weights), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("k"))))
     return F.array_join(F.transform(pairs, lambda p: F.format_string("%s=%.2f", p["k"], -p["w"])), ", ")
+
+
+def goal_anchor(profile: Column, plan: Column, laws: Column | str) -> Column:
+    """The block that opens every prompt: the reader's goal, the plan's tilts and the caller's laws.
+
+    profile: struct of raw_text, modality_weights, focus_keywords, audience_framing, success_criterion; plan: struct of
+    active, output_shape, cartographer_tilt, flow_tracer_targets, lane_b_framing. Lines whose value is
+    null or blank are left out.
+    """
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    line = lambda head, value: F.concat(F.lit(head), value)
+    listed = lambda c: F.nullif(F.array_join(c, ", "), F.lit(""))
+    goal = [
+        F.lit(GOAL_HEAD), F.concat(F.lit('  "'), F.trim(profile["raw_text"]), F.lit('"')),
+        line(GOAL_WEIGHTS, F.coalesce(F.nullif(weighted_terms(profile["modality_weights"]), F.lit("")), F.lit(NO_WEIGHTS))),
+        line(GOAL_KEYWORDS, F.coalesce(listed(profile["focus_keywords"]), F.lit(NO_KEYWORDS))),
+        line(GOAL_AUDIENCE, some(profile["audience_framing"])), line(GOAL_SUCCESS, some(profile["success_criterion"])),
+    ]
+    tilts = [
+        F.lit(PLAN_HEAD), line(PLAN_ACTIVE, F.array_join(plan["active"], ", ")), line(PLAN_SHAPE, plan["output_shape"]),
+        line(PLAN_HUBS, some(plan["cartographer_tilt"])), line(PLAN_TARGETS, some(listed(plan["flow_tracer_targets"]))), line(PLAN_LANE_B, some(plan["lane_b_framing"])),
+    ]
+    return F.concat_ws("\n", *goal, F.lit(""), *tilts, F.lit(""), F.lit(laws) if isinstance(laws, str) else laws)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar, text
 from ..functions.constants import BAND_WEIGHTS, LEXICAL_WEIGHTS, PROSE_WEIGHTS, RRF_K
 
-#: Rows of a question table that may be broadcast; more of them are joined in blocks.
-QUERY_BLOCK = 512
+#: Chunks of a shard and questions of a block; a task compares one with the other.
+SHARD_ROWS, QUERY_BLOCK = 16384, 2048
 
 
 def ranked(df: DataFrame, by: list[Column], k: int, *, partition: str | list[str] = "query_id", rank: str = "rank") -> DataFrame:
@@ -32,26 +32,38 @@ def nearest(chunks: DataFrame, vector: list[float], k: int = 8, *, where: Column
     return rows.select(*rows.columns, scalar.cosine_distance(F.col(column), q).alias("distance")).orderBy("distance", ident).limit(k)
 
 
-def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, *, ident: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, ident, distance for queries(query_id, q), taken in blocks of bounded size.
+def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, *, ident: str = "vec_id", column: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, ident, distance for queries(query_id, q): the k nearest by cosine distance, to 12 decimals.
 
-    Each block is small enough to send to all tasks whatever the number of questions; a block scans
-    the chunks once.
+    One plan whatever the number of questions: chunks are dealt into shards and questions into blocks by
+    hash, and a task holds one of each, so a chunk moves once for each block of questions. Each tile is a
+    matrix product and gives k rows a question. Null vectors take no part; vectors of other lengths don't
+    meet; a vector without length is farther than all others (NaN).
     """
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
-    norm = lambda v: F.sqrt(scalar.dot(v, v))
-    chunks = chunks.select(ident, F.col(column).alias("_v")).withColumn("_n", norm(F.col("_v")))
-    parts = []
-    for b in range(max(1, blocks)):
-        block = numbered.where(F.col("_block") == b).select("query_id", "q", norm(F.col("q")).alias("_qn"))
-        pairs = chunks.join(F.broadcast(block), F.lit(True))
-        scored = pairs.select("query_id", ident, (1 - scalar.dot(F.col("_v"), F.col("q")) / (F.col("_n") * F.col("_qn"))).alias("distance"))
-        parts.append(ranked(scored, [F.col("distance"), F.col(ident)], k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = chunks.schema[ident].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kinds[1]}, {ident} {kinds[0]}, distance double"
+    x = chunks.where(F.col(column).isNotNull()).select(F.col(ident).alias("i"), F.col(column).cast("array<double>").alias("v"), F.size(column).alias("dim"))
+    q = queries.where("q IS NOT NULL").select("query_id", F.col("q").cast("array<double>").alias("q"), F.size("q").alias("dim"))
+    shards, blocks = max(1, -(-x.count() // shard_rows)), max(1, -(-q.count() // block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = x.select("dim", place("i", shards).alias("shard"), every(blocks).alias("block"), "i", "v").groupBy("dim", "shard", "block")
+    right = q.select("dim", every(shards).alias("shard"), place("query_id", blocks).alias("block"), "query_id", "q").groupBy("dim", "shard", "block")
+
+    def tile(near, asked):
+        import numpy as np
+        import pandas as pd
+
+        if not len(near) or not len(asked) or k <= 0:
+            return pd.DataFrame({"query_id": asked["query_id"][:0], ident: near["i"][:0], "distance": pd.Series(dtype="float64")})
+        near = near.sort_values("i", kind="stable")
+        a, b = np.stack(asked["q"]), np.stack(near["v"])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            far = np.round(1 - (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))), 12)
+        top = np.argsort(far, axis=1, kind="stable")[:, :k]  # equal distances stay in order of ident
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy().repeat(top.shape[1]), ident: near["i"].to_numpy()[top.ravel()], "distance": np.take_along_axis(far, top, 1).ravel()})
+
+    return ranked(left.cogroup(right).applyInPandas(tile, schema), [F.col("distance"), F.col(ident)], k)
 
 
 def postings(chunks: DataFrame, *, ident: str = "chunk_id", symbol: str = "symbol", content: str = "content") -> DataFrame:
@@ -167,6 +179,24 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[
     return pairs.withColumn("relevance", relevance("query", "text"))
 
 
+def score_cached(pairs: DataFrame, cache: DataFrame, scorer: Callable[[list[str], list[str]], list[float]] = overlap_scorer, *, model: str, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs with `relevance`, cache as it is afterwards) of pairs(query, text) and cache(key, relevance, last_used).
+
+    A pair's key is the sha256 of model, query and text, parted by NUL. Each distinct pair that the cache lacks is scored
+    once; used entries get a new last_used. Write the cache before the next batch, which then scores
+    nothing anew; `ledger.keep_recent` bounds it.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    keyed = pairs.withColumn("_key", F.sha2(F.concat_ws("\0", F.lit(model), blank("query"), blank("text")), 256))
+    asked = keyed.groupBy("_key").agg(F.first(F.struct("query", "text")).alias("p")).select(F.col("_key").alias("key"), "p.*")
+    fresh = score_pairs(asked.join(cache.select("key"), "key", "left_anti"), scorer).select("key", "relevance")
+    stamp = (now if now is not None else F.current_timestamp()).alias("last_used")
+    used = cache.select("key", "relevance").join(asked.select("key"), "key", "left_semi").unionByName(fresh).select("key", "relevance", stamp)
+    left = cache.select("key", "relevance", "last_used").join(asked.select("key"), "key", "left_anti")
+    scored = keyed.join(used.select(F.col("key").alias("_key"), "relevance"), "_key").drop("_key")
+    return scored, used.unionByName(left)
+
+
 def mmr_order(tokens: list[set[str]], relevance: list[float], k: int, balance: float) -> list[int]:
     """Greedy maximal marginal relevance: positions in the order chosen, ties to the first."""
     if not tokens or k <= 0:
@@ -237,22 +267,22 @@ def prompt_budget(chunks: DataFrame, *, per_chunk: int = 4000, total: int = 2400
     return out.where(F.col("used") + F.col("chars") <= total)
 
 
-def embed_missing(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], *, dimension: int = 768, batch: int = 32) -> DataFrame:
-    """text_key, vector for every text: distinct keys, cache lookup, one call for each batch of misses.
+def embed_told(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], *, dimension: int = 768, batch: int = 32) -> DataFrame:
+    """text_key, vector, cached, problem for every distinct text: cache lookup, then one call for each batch of misses.
 
-    A batch that fails is halved until single texts fail; those, and vectors of another length, are
-    left out, so an absent vector stays absent.
+    A batch that fails is halved until single texts fail. Those have no vector but a problem (the error, no vector, or
+    a vector of another length), so they can be put aside and tried again.
     """
     keyed = texts.select(F.sha2("text", 256).alias("text_key"), "text").dropDuplicates(["text_key"])
-    hits = keyed.join(cache.select("text_key", "vector"), "text_key").select("text_key", "vector")
+    hits = keyed.join(cache.select("text_key", "vector"), "text_key").select("text_key", "vector", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("problem"))
     misses = keyed.join(cache.select("text_key"), "text_key", "left_anti")
 
-    def attempt(items: list[str]) -> list:
+    def attempt(items: list[str]) -> list[tuple[list[float] | None, str | None]]:
         try:
-            return embed(items)
-        except Exception:
+            return [(v, None if v is not None and len(v) == dimension else "no vector" if v is None else f"length {len(v)}") for v in embed(items)]
+        except Exception as e:
             if len(items) == 1:
-                return [None]
+                return [(None, f"{type(e).__name__}: {e}")]
             half = len(items) // 2
             return attempt(items[:half]) + attempt(items[half:])
 
@@ -263,7 +293,12 @@ def embed_missing(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]
             rows = []
             for at in range(0, len(f), batch):
                 part = f.iloc[at : at + batch]
-                rows += [(k, v) for k, v in zip(part["text_key"], attempt(part["text"].tolist()), strict=True) if v is not None and len(v) == dimension]
-            yield pd.DataFrame(rows, columns=["text_key", "vector"])
+                rows += [(k, None if p else v, False, p) for k, (v, p) in zip(part["text_key"], attempt(part["text"].tolist()), strict=True)]
+            yield pd.DataFrame(rows, columns=["text_key", "vector", "cached", "problem"])
 
-    return hits.unionByName(misses.mapInPandas(run, "text_key string, vector array<double>"))
+    return hits.unionByName(misses.mapInPandas(run, "text_key string, vector array<double>, cached boolean, problem string"))
+
+
+def embed_missing(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], *, dimension: int = 768, batch: int = 32) -> DataFrame:
+    """text_key, vector of the texts that have one; see `embed_told` for the others."""
+    return embed_told(texts, cache, embed, dimension=dimension, batch=batch).where("problem IS NULL").select("text_key", "vector")

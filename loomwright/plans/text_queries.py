@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar, text
 from ..functions.constants import FACT_ENTRIES, FACT_HEAD, FACT_HUBS, NO_ENTRIES, NO_ENTRY_NAMES, NO_HUB_NAMES, NO_HUBS
 from ..operators import answer, contribute, evaluation, filters, graph, ledger, retrieval
-from ..sources import tables
-from .queries import _EDGES, _LEXICAL, _R, _TOKENS, _TWO_LANES, _lanes, query
+from ..sources import labelled, tables
+from ..storage import fresh_folder
+from . import evaluate
+from .queries import _CHUNKS, _EDGES, _LEXICAL, _POSTINGS, _R, _SPARSE, _TERMS, _TOKENS, _TWO_LANES, _lanes, query
 from .views import document_chunks, place_edges, table, trade_edges
 
 _NL = "chr(10)"
@@ -467,3 +469,73 @@ def suspicion_lane(spark, sf_dir):
 def callers_and_callees(spark, sf_dir):
     e = trade_edges(spark, sf_dir)
     return graph.callers(e, "p1").withColumn("way", F.lit("in")).unionByName(graph.callees(e, "s1").withColumn("way", F.lit("out")))
+
+
+_REPLIES = """CASE (conv_id * 3 + turn) % 8 WHEN 0 THEN '{"decision":"sufficient","reason":"ok"} done' WHEN 1 THEN '{"decision":"insufficient","reason":"need","next_symbol":"sym' || conv_id || '"}'
+  WHEN 2 THEN '{"decision":"maybe"}' WHEN 3 THEN 'no json' WHEN 4 THEN '{"decision":"insufficient","reason":5}' WHEN 5 THEN '{broken}'
+  WHEN 6 THEN 'so: {"verdict":"actionable","reason":"r' || turn || '"}' ELSE '{"verdict":"not_actionable","decision":"sufficient","next_symbol":null}' END"""
+_LISTS = """CASE conv_id % 3 WHEN 0 THEN 'list [{"title":"a' || conv_id || '"}, 3, {"title":"b"}] end' WHEN 1 THEN '[1, "x"] and [2]' ELSE 'none' END"""
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, translate(coalesce(text, ''), '{{}}[]', '    ') || {_REPLIES} AS reply, translate(coalesce(text, ''), '{{}}[]', '    ') || {_LISTS} AS list FROM conversations),
+s AS (SELECT *, regexp_extract(reply, '\\{{.*\\}}', 0, 's') AS o, regexp_extract(list, '\\[.*\\]', 0, 's') AS a FROM r),
+j AS (SELECT *, CASE WHEN json_valid(o) THEN o::JSON END AS v, CASE WHEN json_valid(a) THEN a::JSON END AS l FROM s),
+f AS (SELECT *, coalesce(v->>'decision' IN ('sufficient', 'insufficient'), false) AND coalesce(json_type(v, '$.reason'), 'VARCHAR') = 'VARCHAR' AND coalesce(json_type(v, '$.next_symbol'), 'NULL') IN ('NULL', 'VARCHAR') AS fits,
+  coalesce(v->>'verdict' IN ('actionable', 'not_actionable'), false) AND coalesce(json_type(v, '$.reason'), 'VARCHAR') = 'VARCHAR' AS rubric, list_filter(from_json(l, '["JSON"]'), x -> json_type(x) = 'OBJECT') AS objects FROM j)
+SELECT conv_id, turn, CASE WHEN fits THEN v->>'decision' ELSE 'sufficient' END AS decision, CASE WHEN fits THEN coalesce(v->>'reason', '') WHEN v IS NULL THEN 'parse_error' ELSE 'schema_error' END AS reason, CASE WHEN fits THEN v->>'next_symbol' END AS next_symbol,
+  CASE WHEN rubric THEN v->>'verdict' END AS verdict, CAST(coalesce(len(objects), 0) AS INT) AS objects, objects[1]->>'title' AS first_title FROM f""")
+def model_replies(spark, sf_dir):
+    """What judges' and rubrics' replies say, however they are wrapped or broken."""
+    bare = F.translate(F.coalesce("text", F.lit("")), "{}[]", "    ")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(bare, F.expr(_REPLIES)).alias("reply"), F.concat(bare, F.expr(_LISTS)).alias("list"))
+    told = c.select("conv_id", "turn", scalar.sufficiency(F.col("reply")).alias("s"), scalar.actionability(F.col("reply")).alias("a"), scalar.json_objects(F.col("list")).alias("o"))
+    title = F.try_variant_get(F.get("o", F.lit(0)), "$.title", "string")
+    return told.select("conv_id", "turn", "s.decision", "s.reason", "s.next_symbol", F.col("a.verdict").alias("verdict"), F.size("o").alias("objects"), title.alias("first_title"))
+
+
+@query("""WITH p AS (SELECT *, [struct_pack(w := -(doc_id % 10) / 10.0, n := 'understand'), struct_pack(w := -(doc_id % 7) / 10.0, n := 'change')] AS weights FROM documents),
+t AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN '(none stated)' ELSE array_to_string(list_transform(list_sort(weights), x -> x.n || '=' || printf('%.2f', -x.w)), ', ') END AS weighted FROM p)
+SELECT doc_id, sha256(concat_ws(chr(10), 'USER GOAL (verbatim, do not rephrase):', '  "' || trim(coalesce(text, ''), ' ') || '"', '  modality_weights: ' || weighted, '  focus_keywords:   ' || CASE doc_id % 3 WHEN 0 THEN '(none)' WHEN 1 THEN 'pool' ELSE 'pool, leak' END,
+  CASE WHEN doc_id % 5 = 1 THEN '  audience:         for ' || lang END, CASE WHEN doc_id % 2 = 1 THEN '  success looks like: done' END, '', 'PLAN TILT (set by the deterministic planner — honor it):', '  - active capabilities: cartographer, teacher', '  - output shape:        narrative',
+  CASE WHEN doc_id % 3 = 1 THEN '  - cartographer hub bias: balanced' END, CASE doc_id % 3 WHEN 1 THEN '  - flow-tracer targets: pool' WHEN 2 THEN '  - flow-tracer targets: pool, leak' END, '', 'LAWS')) AS anchor_sha256 FROM t""")
+def goal_anchors(spark, sf_dir):
+    """The block that opens a prompt, over whole texts as goals."""
+    k = F.col("doc_id")
+    words = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("pool"))).otherwise(F.array(F.lit("pool"), F.lit("leak")))
+    weights = F.when(k % 4 == 0, F.create_map().cast("map<string,double>")).otherwise(F.create_map(F.lit("understand"), (k % 10) / 10, F.lit("change"), (k % 7) / 10))
+    profile = F.struct(F.coalesce("text", F.lit("")).alias("raw_text"), weights.alias("modality_weights"), words.alias("focus_keywords"), F.when(k % 5 == 1, F.concat(F.lit("for "), F.col("lang"))).when(k % 5 == 2, F.lit("  ")).alias("audience_framing"), F.when(k % 2 == 1, F.lit(" done ")).alias("success_criterion"))
+    plan = F.struct(F.array(F.lit("cartographer"), F.lit("teacher")).alias("active"), F.lit("narrative").alias("output_shape"), F.when(k % 3 == 1, F.lit("balanced")).alias("cartographer_tilt"), words.alias("flow_tracer_targets"), F.lit(None).cast("string").alias("lane_b_framing"))
+    d = table(spark, sf_dir, "documents").withColumn("p", profile).withColumn("l", plan)
+    return d.select("doc_id", F.sha2(text.goal_anchor(F.col("p"), F.col("l"), "LAWS"), 256).alias("anchor_sha256"))
+
+
+_AT = lambda k: f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}, round(avg(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0.0 END), 6) AS ndcg_{k}"
+
+
+@query(f"""WITH {_CHUNKS}, questions AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 50 = 0 AND length(text) > 0), {_TERMS}, {_POSTINGS}, {_SPARSE},
+d AS (SELECT query_id, count(*) AS n FROM sparse WHERE rank <= 5 GROUP BY 1), h AS (SELECT q.query_id, s.rank, d.n FROM questions q LEFT JOIN sparse s ON s.query_id = q.query_id AND s.chunk_id = q.query_id AND s.rank <= 20 LEFT JOIN d ON d.query_id = q.query_id)
+SELECT 'keyword_retrieval' AS eval_name, '20240202T000000Z' AS timestamp_utc, count(*) AS total, {', '.join(map(_AT, evaluate.KS))}, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 / rank END), 6) AS mrr, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 6) AS diversity FROM h""")
+def retrieval_report(spark, sf_dir):
+    """A keyword search graded over a labelled dataset in JSON Lines; the newest of two reports, read back."""
+    root, chunks = fresh_folder(spark, "evaluation"), document_chunks(spark, sf_dir)
+    ref = F.struct("file_path", "start_line", "end_line")
+    chunks.where("chunk_id % 50 = 0 AND length(content) > 0").select(F.to_json(F.struct(F.col("content").alias("question"), F.array(ref).alias("expected_refs"))).alias("value")).write.text(f"{root}/dataset")
+    spans, index = chunks.select("chunk_id", "file_path", "start_line", "end_line"), retrieval.postings(chunks)
+    cases = evaluate.retrieval_cases(labelled.load(spark, f"{root}/dataset", "grounding"), lambda asked: retrieval.keyword_rank(index, asked, 20).select("query_id", "rank", "chunk_id").join(spans, "chunk_id"))
+    summary = evaluate.retrieval_summary(cases)
+    for stamp in ("20240202T000000Z", "20240101T000000Z"):
+        evaluate.report(summary, f"{root}/reports", "keyword_retrieval", dataset="documents", headline="recall_10", gate=0.9, stamp=stamp)
+    numbers = [F.round(f"payload.{c}", 6).alias(c) for c in summary.columns if c != "total"]
+    return evaluate.latest_record(spark, f"{root}/reports", "keyword_retrieval").select("eval_name", "timestamp_utc", "payload.total", *numbers)
+
+
+@query("""WITH p AS (SELECT conv_id, turn, coalesce(role, '') AS query, coalesce(text, '') AS text FROM conversations), m AS (SELECT *, conv_id % 2 = 0 AS known FROM p),
+t AS (SELECT *, list_distinct(list_transform(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*'), x -> lower(x))) AS q, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), x -> lower(x))) AS w FROM m),
+k AS (SELECT DISTINCT query, text FROM m WHERE known)
+SELECT conv_id, turn, round(CASE WHEN k.text IS NOT NULL THEN 0.25 WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, w)) / len(q) END, 6)::DOUBLE AS relevance FROM t LEFT JOIN k ON k.query = t.query AND k.text = t.text""")
+def cached_scores(spark, sf_dir):
+    """Pairs of even conversations are in the cache at 0.25; the others are scored."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("query"), F.coalesce("text", F.lit("")).alias("text"))
+    known = c.where("conv_id % 2 = 0").select(F.sha2(F.concat_ws("\0", F.lit("m"), "query", "text"), 256).alias("key")).distinct()
+    cache = known.select("key", F.lit(0.25).alias("relevance"), F.lit("2024-01-01").cast("timestamp").alias("last_used"))
+    return retrieval.score_cached(c, cache, model="m")[0].select("conv_id", "turn", _R("relevance").alias("relevance"))
