@@ -12,8 +12,8 @@ Pages are scanned in time that grows with their length, whatever they hold, so v
 taken whole. A `<` after a page's last `>` opens no tag and is text.
 
 Defined cases: a null payload is empty and gives an empty conversion; a null URI is left out of the
-headers. Records of a WARC file with a bad length are passed over; a file cut short ends with its last
-whole record. Repeated responses give repeated records. An empty table gives an empty result. Other input
+headers. Records of a WARC file with a bad length are passed over, and so are damaged gzip members (`damaged` lists
+them); a file cut short ends with its last whole record. Repeated responses give repeated records. An empty table gives an empty result. Other input
 columns are ignored.
 """
 
@@ -124,13 +124,95 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+MAGIC = b"\x1f\x8b\x08"
+
+
+class _Member(io.RawIOBase):
+    """The bytes of the gzip member at `start`, inflated as they are read; `end` is where it stops, once known."""
+
+    def __init__(self, data: memoryview, start: int) -> None:
+        self.data, self.at, self.end, self.inflate = data, start, None, zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while self.end is None:
+            held = self.inflate.unconsumed_tail or self.data[self.at : self.at + 65536]
+            if not len(held):
+                return 0  # cut short
+            self.at += 0 if self.inflate.unconsumed_tail else len(held)
+            got = self.inflate.decompress(held, len(out))
+            if self.inflate.eof:
+                self.end = self.at - len(self.inflate.unused_data)
+            if got:
+                out[: len(got)] = got
+                return len(got)
+        return 0
+
+
+def _verified(data: memoryview, start: int) -> tuple[int | None, str | None]:
+    """End of the member at `start` and what is wrong with it, checksum included; the end is None where there is none."""
+    member = _Member(data, start)
+    try:
+        while member.read(1 << 20):
+            pass
+    except (zlib.error, OSError) as e:
+        return None, str(e)
+    return member.end, None if member.end is not None else "cut short"
+
+
+def members(data: bytes) -> Iterator[tuple[int, str | None, Iterator[tuple[dict[str, str], bytes]]]]:
+    """(offset, problem, records) of each gzip member of a WARC file; one member without compression.
+
+    A member is inflated once to check it and once for its records, a record at a time. A damaged one gives no
+    records, and reading goes on at the next member that inflates to a record; one that the file's end cuts
+    short gives its whole records.
+    """
+    if data[:2] != MAGIC[:2]:
+        yield 0, None, _records(io.BytesIO(data))
+        return
+    view, at = memoryview(data), 0
+
+    def next_sound(at: int) -> int:
+        """Where the next member begins that inflates to the start of a record; -1 without one."""
+        while (at := data.find(MAGIC, at)) >= 0:
+            try:
+                if _Member(view, at).read(5) == b"WARC/":
+                    return at
+            except (zlib.error, OSError):
+                pass
+            at += 1
+        return -1
+
+    while (start := at if data[at : at + 3] == MAGIC else next_sound(at)) >= 0:
+        end, problem = _verified(view, start)
+        at = end if end is not None else start + 1
+        if problem == "cut short" and next_sound(at) < 0:
+            yield start, problem, _records(io.BufferedReader(_Member(view, start)))
+            return
+        if problem:
+            yield start, problem, iter(())
+        elif end is not None:
+            yield start, None, _records(io.BufferedReader(_Member(view, start)))
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each whole record of a WARC file's bytes, gzipped or not, a record at a time."""
-    stream = io.BytesIO(data)
+    for _, _, records in members(data):
+        yield from records
+
+
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+
+
+def decoded(body: bytes, content_type: str) -> str:
+    """A body as text: by the charset of its Content-Type, else of its first kilobyte, else as UTF-8."""
+    named = _CHARSET.search(content_type.encode()) or _CHARSET.search(body[:1024])
     try:
-        yield from _records(gzip.GzipFile(fileobj=stream) if data[:2] == b"\x1f\x8b" else stream)
-    except (EOFError, OSError, zlib.error):
-        return
+        return body.decode(named[1].decode("ascii", "replace") if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
 
 
 def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -147,15 +229,34 @@ def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFr
     )
 
 
+def _warc_files(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def damaged(spark, path: str) -> DataFrame:
+    """file, offset, problem of the gzip members of WARC files that were passed over or end too soon."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(f, at, why) for f, content in zip(b["path"], b["content"], strict=True) for at, why, _ in members(bytes(content)) if why]
+            yield pd.DataFrame(rows, columns=["file", "offset", "problem"])
+
+    return _warc_files(spark, path).mapInPandas(run, "file string, offset long, problem string")
+
+
 def read_warc(spark, path: str) -> DataFrame:
-    """Response rows of the WARC files at path (through Spark's reader, so any store)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    schema = "page_key string, record_id string, target_uri string, date string, headers array<struct<name:string,value:string>>, payload string"
+    """Response rows of the WARC files at path (through Spark's reader, so any store; a file of up to 2 GB is one row).
+
+    payload_digest is that of the bytes as they are; the text is decoded by their charset.
+    """
+    schema = "page_key string, record_id string, target_uri string, date string, headers array<struct<name:string,value:string>>, payload string, payload_digest string"
 
     def run(batches):
         import pandas as pd
 
-        names = ["page_key", "record_id", "target_uri", "date", "headers", "payload"]
+        names = ["page_key", "record_id", "target_uri", "date", "headers", "payload", "payload_digest"]
         for b in batches:
             for content in b["content"]:
                 rows = []
@@ -164,19 +265,20 @@ def read_warc(spark, path: str) -> DataFrame:
                         continue
                     top, _, body = block.partition(b"\r\n\r\n")
                     pairs = [tuple(map(str.strip, x.split(":", 1))) for x in top.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x]
+                    kind = next((v for n, v in pairs if n.lower() == "content-type"), "")
+                    pairs += [(n, h[n]) for n in ("WARC-Payload-Digest",) if n in h]
                     if len(rows) == PART:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
-                    rows.append((h.get("WARC-Record-ID"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), [{"name": n, "value": v} for n, v in pairs], body.decode("utf-8", "replace")))
+                    rows.append((h.get("WARC-Record-ID"), h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), [{"name": n, "value": v} for n, v in pairs], decoded(body, kind), digest(body)))
                 yield pd.DataFrame(rows, columns=names)
 
-    return files.mapInPandas(run, schema)
+    return _warc_files(spark, path).select("content").mapInPandas(run, schema)
 
 
-def _derived(key, rid, uri, date, headers, payload) -> list[tuple]:
+def _derived(key, rid, uri, date, headers, payload, stated=None) -> list[tuple]:
     page, uri_headers = payload or "", [("WARC-Target-URI", uri)] * (uri is not None)
-    raw = page.encode()
-    source = digest(raw)
+    source = stated or digest(page.encode())
     title, lang = title_of(page), language_of(page)
     fields = [(f"source-header-{x['name']}", x["value"] or "") for x in headers or ()] + [("source-payload-digest", source)]
     fields += [("title", title)] if title is not None else []
@@ -194,7 +296,10 @@ def _derived(key, rid, uri, date, headers, payload) -> list[tuple]:
 
 
 def derive(found: DataFrame) -> DataFrame:
-    """Metadata and conversion records (schema RECORD) of response rows."""
+    """Metadata and conversion records (schema RECORD) of response rows.
+
+    payload_digest, where found has it, is the digest of the payload's bytes; else it is taken of the text in UTF-8.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -207,7 +312,8 @@ def derive(found: DataFrame) -> DataFrame:
                 rows = [r for x in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in _derived(*x)]
                 yield pa.record_batch([pa.array(v, t) for v, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
-    return found.select("page_key", "record_id", "target_uri", "date", "headers", "payload").mapInArrow(run, RECORD)
+    stated = F.col("payload_digest") if "payload_digest" in found.columns else F.lit(None).cast("string").alias("payload_digest")
+    return found.select("page_key", "record_id", "target_uri", "date", "headers", "payload", stated).mapInArrow(run, RECORD)
 
 
 def with_bytes(records: DataFrame) -> DataFrame:
@@ -224,4 +330,4 @@ def with_bytes(records: DataFrame) -> DataFrame:
 
 def op6_warc_derivatives(spark, sf_dir: str) -> DataFrame:
     out = derive(responses(read_table(spark, sf_dir, "pages")))
-    return out.select(F.col("page_key").cast("long").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block", "block_bytes", "block_digest", "payload_digest")
+    return out.select(F.col("page_key").cast("long").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", F.to_json("headers").alias("headers"), "block", "block_bytes", "block_digest", "payload_digest")

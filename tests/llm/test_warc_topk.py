@@ -91,6 +91,34 @@ def test_query_against_parser(spark, sf):
         assert rows[p["page_id"], "conversion"]["payload_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+def test_damage_inside_a_file(spark, tmp_path):
+    """A flipped byte costs its own member only, also where it inflates without an error; junk between members costs nothing."""
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 123, 3000).astype(np.uint8)) for _ in range(4)]
+    packed = [gzip.compress(warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", f"<r{i}>")], b"HTTP/1.1 200 OK\r\n\r\n" + t)) for i, t in enumerate(texts)]
+    for at in range(12, len(packed[1]), 97):
+        broken = bytearray(packed[1])
+        broken[at] ^= 4
+        data = packed[0] + bytes(broken) + b"\x1f\x8b\x08 junk" + packed[2] + packed[3]
+        assert [h["WARC-Record-ID"] for h, _ in warc.parse(data)] == ["<r0>", "<r2>", "<r3>"], at
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    assert [r["page_key"] for r in warc.read_warc(spark, str(tmp_path)).collect()] == ["<r0>", "<r2>", "<r3>"]
+    told = warc.damaged(spark, str(tmp_path)).collect()
+    assert [r["offset"] for r in told] == [len(packed[0])] and told[0]["problem"]
+
+
+def test_digest_of_the_bytes(spark, tmp_path):
+    body = "<p>caf\u00e9</p>".encode("latin-1")
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n"
+    record = warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", "<r>"), ("WARC-Payload-Digest", "sha1:STATED")], head + body)
+    (tmp_path / "a.warc").write_bytes(record)
+    out = {r["warc_type"]: r for r in warc.derive(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert out["conversion"]["block"] == "caf\u00e9" and out["conversion"]["payload_digest"] == warc.digest(body)
+    assert f"source-payload-digest: {warc.digest(body)}" in out["metadata"]["block"] and "source-header-WARC-Payload-Digest: sha1:STATED" in out["metadata"]["block"]
+    assert warc.decoded(b'<meta charset="utf-16-le-no"> x', "") == '<meta charset="utf-16-le-no"> x'
+    assert warc.decoded('<meta charset="cp1251">\u0430'.encode("cp1251"), "text/html")[-1] == "\u0430"
+
+
 def test_broken_files():
     good = warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], b"block")
     bad = b"WARC/1.1\r\nContent-Length: many\r\n\r\nlost\r\n\r\n"
