@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import pandas as pd
+
 
 class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> list[list[float] | None]: ...
@@ -28,20 +31,20 @@ def summarise(chunks, generate: Generator, *, failures: int = 5):
     from .functions import text
 
     @F.pandas_udf("string")
-    def made(content):
-        import pandas as pd
-
-        out, run = [], 0
-        for c in content:
-            got = None
-            if run < failures:
-                try:
-                    got = generate([c])[0]
-                except Exception:
-                    got = None
-                run = 0 if got else run + 1
-            out.append(got)
-        return pd.Series(out, dtype="object")
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = 0  # failures in a row, over all batches of the task
+        for content in parts:
+            out = []
+            for c in content:
+                got = None
+                if run < failures:
+                    try:
+                        got = generate([c])[0]
+                    except Exception:
+                        got = None
+                    run = 0 if got else run + 1
+                out.append(got)
+            yield pd.Series(out, dtype="object")
 
     return chunks.withColumn("summary", F.coalesce(made("content"), text.fallback_summary(F.col("symbol"), F.col("kind"), F.col("file_path"))))
 

@@ -115,7 +115,9 @@ def neighbours(edges: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: i
     limit = max(1, min(limit, 200))
     near = both_directions(edges).join(symbols, "symbol")
     w = Window.partitionBy("symbol")
-    near = near.withColumn("rn", F.row_number().over(w.orderBy(_place(F.col("edge"), NEIGHBOUR_ORDER), "neighbour"))).withColumn("total", F.count(F.lit(1)).over(w)).where(F.col("rn") <= limit)
+    # Counted apart from the ranking, so that each task keeps only the first rows of a hub before the shuffle.
+    totals = near.groupBy("symbol").agg(F.count(F.lit(1)).alias("total"))
+    near = near.withColumn("rn", F.row_number().over(w.orderBy(_place(F.col("edge"), NEIGHBOUR_ORDER), "neighbour"))).where(F.col("rn") <= limit).join(totals, "symbol")
     spans = union_span(chunks).select(F.col("symbol").alias("neighbour"), "file_path", "start_line", "end_line", "kind")
     named = near.join(spans, "neighbour", "left").withColumn("root", text.root_name(F.col("neighbour")))
     named = named.join(internal_roots(chunks).withColumn("inside", F.lit(True)), "root", "left")

@@ -98,3 +98,12 @@ def keep_recent(verdicts: DataFrame, size: int = 2048) -> DataFrame:
 
 def tokens_by_model(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+
+
+def index_counts(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, *, key: str = "repo_id") -> DataFrame:
+    """key, files, chunks, call_edges, nodes of each snapshot; what a table lacks is 0."""
+    pairs = edges.where("type = 'calls'").select(key, "src", "dst").distinct()
+    per = lambda df, *aggs: df.groupBy(key).agg(*aggs)
+    out = per(chunks, F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"))
+    out = out.join(per(pairs, F.count(F.lit(1)).alias("call_edges")), key, "left").join(per(nodes, F.count(F.lit(1)).alias("nodes")), key, "left")
+    return out.fillna(0, ["call_edges", "nodes"])

@@ -147,9 +147,10 @@ def keyword_overlap(chunks: DataFrame, queries: DataFrame, k: int = 3, *, ident:
 
 def min_max(df: DataFrame, column: str, out: str, partition: str = "query_id") -> DataFrame:
     """Scales to [0, 1] in each partition; a constant partition becomes 1."""
-    w = Window.partitionBy(partition)
-    span = F.max(column).over(w) - F.min(column).over(w)
-    return df.withColumn(out, F.when(span == 0, F.lit(1.0)).otherwise((F.col(column) - F.min(column).over(w)) / span))
+    ends = df.groupBy(F.col(partition).alias("_p")).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    span = F.col("_high") - F.col("_low")
+    met = df.join(ends, F.col(partition).eqNullSafe(F.col("_p")))
+    return met.withColumn(out, F.when(span == 0, F.lit(1.0)).otherwise((F.col(column) - F.col("_low")) / span)).drop("_p", "_low", "_high")
 
 
 def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:
@@ -259,12 +260,11 @@ def attribute(claims: DataFrame, chunks: DataFrame, k: int = 2, scorer=overlap_s
 def prompt_budget(chunks: DataFrame, *, per_chunk: int = 4000, total: int = 24000, cut_last: bool = True) -> DataFrame:
     """Chunks that fit a prompt by rank; the one that overflows is cut, or left out with all after it."""
     before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    sized = chunks.withColumn("chars", F.least(F.length("content"), F.lit(per_chunk)))
-    used = F.coalesce(F.sum("chars").over(before), F.lit(0))
-    out = sized.withColumn("used", used)
-    if cut_last:
-        return out.where(F.col("used") < total).withColumn("chars", F.least(F.col("chars"), total - F.col("used")))
-    return out.where(F.col("used") + F.col("chars") <= total)
+    # The running sum is over lengths; texts are not sorted, and of those that don't fit none moves twice.
+    sized = chunks.select("query_id", "rank", F.least(F.length("content"), F.lit(per_chunk)).alias("chars"))
+    used = sized.withColumn("used", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+    fit = used.where(F.col("used") < total).withColumn("chars", F.least(F.col("chars"), total - F.col("used"))) if cut_last else used.where(F.col("used") + F.col("chars") <= total)
+    return chunks.join(fit, ["query_id", "rank"])
 
 
 def embed_told(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], *, dimension: int = 768, batch: int = 32) -> DataFrame:

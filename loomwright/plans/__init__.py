@@ -1,3 +1,3 @@
 """Composed plans: registered queries, the read path and the write path."""
 
-from . import text_queries  # noqa: F401  (adds its queries to the registry)
+from . import sink_queries, text_queries  # noqa: F401  (they add their queries to the registry)

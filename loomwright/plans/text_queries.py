@@ -481,7 +481,7 @@ _LISTS = """CASE conv_id % 3 WHEN 0 THEN 'list [{"title":"a' || conv_id || '"},
 s AS (SELECT *, regexp_extract(reply, '\\{{.*\\}}', 0, 's') AS o, regexp_extract(list, '\\[.*\\]', 0, 's') AS a FROM r),
 j AS (SELECT *, CASE WHEN json_valid(o) THEN o::JSON END AS v, CASE WHEN json_valid(a) THEN a::JSON END AS l FROM s),
 f AS (SELECT *, coalesce(v->>'decision' IN ('sufficient', 'insufficient'), false) AND coalesce(json_type(v, '$.reason'), 'VARCHAR') = 'VARCHAR' AND coalesce(json_type(v, '$.next_symbol'), 'NULL') IN ('NULL', 'VARCHAR') AS fits,
-  coalesce(v->>'verdict' IN ('actionable', 'not_actionable'), false) AND coalesce(json_type(v, '$.reason'), 'VARCHAR') = 'VARCHAR' AS rubric, list_filter(from_json(l, '["JSON"]'), x -> json_type(x) = 'OBJECT') AS objects FROM j)
+  coalesce(v->>'verdict' IN ('actionable', 'not_actionable'), false) AND coalesce(json_type(v, '$.reason'), 'VARCHAR') = 'VARCHAR' AS rubric, list_filter(from_json(l, '["JSON"]'), lambda x: json_type(x) = 'OBJECT') AS objects FROM j)
 SELECT conv_id, turn, CASE WHEN fits THEN v->>'decision' ELSE 'sufficient' END AS decision, CASE WHEN fits THEN coalesce(v->>'reason', '') WHEN v IS NULL THEN 'parse_error' ELSE 'schema_error' END AS reason, CASE WHEN fits THEN v->>'next_symbol' END AS next_symbol,
   CASE WHEN rubric THEN v->>'verdict' END AS verdict, CAST(coalesce(len(objects), 0) AS INT) AS objects, objects[1]->>'title' AS first_title FROM f""")
 def model_replies(spark, sf_dir):
@@ -494,7 +494,7 @@ def model_replies(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT *, [struct_pack(w := -(doc_id % 10) / 10.0, n := 'understand'), struct_pack(w := -(doc_id % 7) / 10.0, n := 'change')] AS weights FROM documents),
-t AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN '(none stated)' ELSE array_to_string(list_transform(list_sort(weights), x -> x.n || '=' || printf('%.2f', -x.w)), ', ') END AS weighted FROM p)
+t AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN '(none stated)' ELSE array_to_string(list_transform(list_sort(weights), lambda x: x.n || '=' || printf('%.2f', abs(x.w))), ', ') END AS weighted FROM p)
 SELECT doc_id, sha256(concat_ws(chr(10), 'USER GOAL (verbatim, do not rephrase):', '  "' || trim(coalesce(text, ''), ' ') || '"', '  modality_weights: ' || weighted, '  focus_keywords:   ' || CASE doc_id % 3 WHEN 0 THEN '(none)' WHEN 1 THEN 'pool' ELSE 'pool, leak' END,
   CASE WHEN doc_id % 5 = 1 THEN '  audience:         for ' || lang END, CASE WHEN doc_id % 2 = 1 THEN '  success looks like: done' END, '', 'PLAN TILT (set by the deterministic planner — honor it):', '  - active capabilities: cartographer, teacher', '  - output shape:        narrative',
   CASE WHEN doc_id % 3 = 1 THEN '  - cartographer hub bias: balanced' END, CASE doc_id % 3 WHEN 1 THEN '  - flow-tracer targets: pool' WHEN 2 THEN '  - flow-tracer targets: pool, leak' END, '', 'LAWS')) AS anchor_sha256 FROM t""")
@@ -530,7 +530,7 @@ def retrieval_report(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT conv_id, turn, coalesce(role, '') AS query, coalesce(text, '') AS text FROM conversations), m AS (SELECT *, conv_id % 2 = 0 AS known FROM p),
-t AS (SELECT *, list_distinct(list_transform(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*'), x -> lower(x))) AS q, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), x -> lower(x))) AS w FROM m),
+t AS (SELECT *, list_distinct(list_transform(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: lower(x))) AS q, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: lower(x))) AS w FROM m),
 k AS (SELECT DISTINCT query, text FROM m WHERE known)
 SELECT conv_id, turn, round(CASE WHEN k.text IS NOT NULL THEN 0.25 WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, w)) / len(q) END, 6)::DOUBLE AS relevance FROM t LEFT JOIN k ON k.query = t.query AND k.text = t.text""")
 def cached_scores(spark, sf_dir):

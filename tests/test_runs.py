@@ -102,3 +102,20 @@ def test_retrieval_report(spark, tmp_path):
     assert newest["timestamp_utc"] == "20250101T000000Z" and newest["headline_metric"] == 0.25 and not newest["passed"] and newest["payload"]["total"] == 2
     page = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "20250101T000000Z-r.md")).collect())
     assert page.startswith("# r — 20250101T000000Z\n\n- **Dataset:** `d.jsonl`\n- **Gate:** ≥ 50%\n- **Result:** 25.0% — FAIL\n") and "| mrr | 0.2500 |" in page
+
+
+def test_circuit_opens_once_a_task(spark):
+    """After five failures in a row nothing is asked any more, over all Arrow batches of the task."""
+    from loomwright import external
+    from loomwright.storage import settings
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def generate(prompts):
+        asked.add(1)
+        raise RuntimeError("down")
+
+    chunks = spark.range(60).coalesce(1).selectExpr("'s' AS symbol", "'function' AS kind", "'a.py' AS file_path", "concat('c', id) AS content")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="7"):
+        out = external.summarise(chunks, generate).collect()
+    assert len(out) == 60 and all(r["summary"] for r in out) and asked.value == 5
