@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, filters, ledger, retrieval
 from ..sources import files, labelled, tables
 from ..storage import fresh_folder
+from .ask import prompts
 from .queries import _CHUNKS, _DENSE, _POSTINGS, _QUESTIONS, _R, _SPARSE, _TERMS, query
 from .views import document_chunks, questions, table, trade_edges
 
@@ -141,3 +142,17 @@ def labelled_claims(spark, sf_dir):
 @query("SELECT file_path, row_number() OVER (ORDER BY file_path) AS ordinal FROM (SELECT source || '/' || doc_id || '.txt' AS file_path FROM documents)")
 def file_ordinals(spark, sf_dir):
     return labelled.ordinals(document_chunks(spark, sf_dir).select("file_path"), "file_path")
+
+
+# ---- prompts
+
+
+@query("""WITH r AS (SELECT source, doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), h AS (SELECT *, least(length(t), 400) AS c FROM r WHERE rank <= 8),
+b AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h), f AS (SELECT *, least(c, 1500 - used) AS n FROM b WHERE used < 1500),
+v AS (SELECT *, CASE WHEN length(t) <= n THEN t ELSE regexp_replace(left(t, CAST(n AS BIGINT)), '\\n[^\\n]*\\z', '') || chr(10) || '… (chunk truncated for prompt size)' END AS view FROM f)
+SELECT source AS query_id, sha256(string_agg('Chunk [' || (rank - 1) || ']:' || chr(10) || '<source file=' || source || ':1-9 symbol=''x''>' || chr(10) || rtrim(view, ' ') || chr(10) || '</source>', chr(10) || chr(10) ORDER BY rank)) AS prompt_sha256 FROM v GROUP BY source""")
+def prompt_slices(spark, sf_dir):
+    """The first eight chunks of each source as one prompt within its budget."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), place.alias("rank"), F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit("x").alias("symbol"), F.coalesce("text", F.lit("")).alias("content"))
+    return prompts(d.where("rank <= 8"), per_chunk=400, total=1500).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"))
