@@ -47,23 +47,27 @@ def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, *, ident: s
     shards, blocks = max(1, -(-x.count() // shard_rows)), max(1, -(-q.count() // block_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = x.select("dim", place("i", shards).alias("shard"), every(blocks).alias("block"), "i", "v").groupBy("dim", "shard", "block")
-    right = q.select("dim", every(shards).alias("shard"), place("query_id", blocks).alias("block"), "query_id", "q").groupBy("dim", "shard", "block")
+    none = lambda kind: F.lit(None).cast(kind)
+    left = x.select("dim", place("i", shards).alias("shard"), every(blocks).alias("block"), F.lit(0).alias("side"), none(kinds[1]).alias("query_id"), "i", "v")
+    right = q.select("dim", every(shards).alias("shard"), place("query_id", blocks).alias("block"), F.lit(1).alias("side"), "query_id", none(kinds[0]).alias("i"), F.col("q").alias("v"))
 
-    def tile(near, asked):
+    def tile(rows):
         import numpy as np
-        import pandas as pd
-
-        if not len(near) or not len(asked) or k <= 0:
-            return pd.DataFrame({"query_id": asked["query_id"][:0], ident: near["i"][:0], "distance": pd.Series(dtype="float64")})
-        near = near.sort_values("i", kind="stable")
-        a, b = np.stack(asked["q"]), np.stack(near["v"])
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        asked, near = rows.filter(pc.equal(rows["side"], 1)), rows.filter(pc.equal(rows["side"], 0)).sort_by("i")
+        if k <= 0 or not len(asked) or not len(near):
+            return pa.table({"query_id": asked["query_id"][:0], ident: near["i"][:0], "distance": pa.array([], pa.float64())})
+        matrix = lambda t: pc.list_flatten(t["v"].combine_chunks()).to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        a, b = matrix(asked), matrix(near)
         with np.errstate(invalid="ignore", divide="ignore"):
             far = np.round(1 - (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))), 12)
         top = np.argsort(far, axis=1, kind="stable")[:, :k]  # equal distances stay in order of ident
-        return pd.DataFrame({"query_id": asked["query_id"].to_numpy().repeat(top.shape[1]), ident: near["i"].to_numpy()[top.ravel()], "distance": np.take_along_axis(far, top, 1).ravel()})
+        who = np.arange(len(asked)).repeat(top.shape[1])
+        return pa.table({"query_id": asked["query_id"].take(pa.array(who)), ident: near["i"].take(pa.array(top.ravel())), "distance": pa.array(np.take_along_axis(far, top, 1).ravel())})
 
-    return ranked(left.cogroup(right).applyInPandas(tile, schema), [F.col("distance"), F.col(ident)], k)
+    return ranked(left.unionByName(right).repartition("dim", "shard", "block").groupBy("dim", "shard", "block").applyInArrow(tile, schema), [F.col("distance"), F.col(ident)], k)
 
 
 def postings(chunks: DataFrame, *, ident: str = "chunk_id", symbol: str = "symbol", content: str = "content") -> DataFrame:
@@ -260,11 +264,11 @@ def attribute(claims: DataFrame, chunks: DataFrame, k: int = 2, scorer=overlap_s
 def prompt_budget(chunks: DataFrame, *, per_chunk: int = 4000, total: int = 24000, cut_last: bool = True) -> DataFrame:
     """Chunks that fit a prompt by rank; the one that overflows is cut, or left out with all after it."""
     before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    # The running sum is over lengths; texts are not sorted, and of those that don't fit none moves twice.
-    sized = chunks.select("query_id", "rank", F.least(F.length("content"), F.lit(per_chunk)).alias("chars"))
-    used = sized.withColumn("used", F.coalesce(F.sum("chars").over(before), F.lit(0)))
-    fit = used.where(F.col("used") < total).withColumn("chars", F.least(F.col("chars"), total - F.col("used"))) if cut_last else used.where(F.col("used") + F.col("chars") <= total)
-    return chunks.join(fit, ["query_id", "rank"])
+    sized = chunks.withColumn("chars", F.least(F.length("content"), F.lit(per_chunk)))
+    out = sized.withColumn("used", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+    if cut_last:
+        return out.where(F.col("used") < total).withColumn("chars", F.least(F.col("chars"), total - F.col("used")))
+    return out.where(F.col("used") + F.col("chars") <= total)
 
 
 def embed_told(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float] | None]], *, dimension: int = 768, batch: int = 32) -> DataFrame:

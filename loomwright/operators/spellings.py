@@ -33,16 +33,17 @@ def spelt(texts: DataFrame, words: DataFrame, *, first: bool = False, shard_word
     count = lambda df, n: df.groupBy("key").agg(F.count(F.lit(1)).alias(n))
     sizes = count(texts, "n_block").join(count(words, "n_shard"), "key")
     sizes = sizes.withColumn("parts_block", F.ceil(F.col("n_block") / block_texts)).withColumn("parts_shard", F.ceil(F.col("n_shard") / shard_words))
-    left = _tiles(texts, sizes, "block", block_texts, "shard", "text_id").groupBy("key", "shard", "block")
-    right = _tiles(words, sizes, "shard", shard_words, "block", "word_id").groupBy("key", "shard", "block")
+    left = _tiles(texts, sizes, "block", block_texts, "shard", "text_id").select("key", "shard", "block", F.lit(0).alias("side"), F.col("text_id").alias("number"), F.col("hay").alias("body"))
+    right = _tiles(words, sizes, "shard", shard_words, "block", "word_id").select("key", "shard", "block", F.lit(1).alias("side"), F.col("word_id").alias("number"), F.col("word").alias("body"))
     kind = texts.schema["key"].dataType.simpleString()
 
-    def run(key, some, vocabulary):
+    def run(key, both):
         import ahocorasick
         import pandas as pd
 
+        vocabulary, some = both[both["side"] == 1], both[both["side"] == 0]
         ids: dict[str, set[int]] = {}
-        for number, word in zip(vocabulary["word_id"], vocabulary["word"], strict=True):
+        for number, word in zip(vocabulary["number"], vocabulary["body"], strict=True):
             ids.setdefault(word, set()).add(number)
         everywhere, automaton = ids.pop("", set()), ahocorasick.Automaton()
         for word, numbers in ids.items():
@@ -50,12 +51,12 @@ def spelt(texts: DataFrame, words: DataFrame, *, first: bool = False, shard_word
         if ids:
             automaton.make_automaton()
         rows = []
-        for number, text in zip(some["text_id"], some["hay"], strict=True):
+        for number, text in zip(some["number"], some["body"], strict=True):
             found = set(everywhere).union(*(n for _, n in automaton.iter(text))) if ids else everywhere
             rows += [(key[0], number, w) for w in ([min(found)] if first and found else found)]
         return pd.DataFrame(rows, columns=["key", "text_id", "word_id"])
 
-    found = left.cogroup(right).applyInPandas(run, f"key {kind}, text_id long, word_id long")
+    found = left.unionByName(right).repartition("key", "shard", "block").groupBy("key", "shard", "block").applyInPandas(run, f"key {kind}, text_id long, word_id long")
     if first:
         return found.groupBy("key", "text_id").agg(F.min("word_id").alias("word_id"))
     return found.distinct()

@@ -20,6 +20,8 @@ def get_session(app: str = "loomwright", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # With it, Spark 4.1 plans joins on unions whose sides adaptive execution then gives different partition counts.
+        "spark.sql.unionOutputPartitioning": "false",
         "spark.ui.showConsoleProgress": "false",
     }
     return builder.config(map=fixed | conf).getOrCreate()
