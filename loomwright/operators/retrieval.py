@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar, text
 from ..functions.constants import BAND_WEIGHTS, LEXICAL_WEIGHTS, PROSE_WEIGHTS, RRF_K
 
-#: Chunks of a shard and questions of a block; a task compares one with the other.
-SHARD_ROWS, QUERY_BLOCK = 16384, 2048
+#: Chunks of a shard and questions of a block; a task compares one with the other, so many questions at a time.
+SHARD_ROWS, QUERY_BLOCK, QUERY_PIECE = 16384, 2048, 64
 
 
 def ranked(df: DataFrame, by: list[Column], k: int, *, partition: str | list[str] = "query_id", rank: str = "rank") -> DataFrame:
@@ -36,8 +36,8 @@ def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, *, ident: s
     """query_id, rank, ident, distance for queries(query_id, q): the k nearest by cosine distance, to 12 decimals.
 
     One plan whatever the number of questions: chunks are dealt into shards and questions into blocks by
-    hash, and a task holds one of each, so a chunk moves once for each block of questions. Each tile is a
-    matrix product and gives k rows a question. Null vectors take no part; vectors of other lengths don't
+    hash, and a task holds one of each, so a chunk moves once for each block of questions. Each tile is
+    matrix products of QUERY_PIECE questions and gives k rows a question. Null vectors take no part; vectors of other lengths don't
     meet; a vector without length is farther than all others (NaN).
     """
     kinds = chunks.schema[ident].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
@@ -52,24 +52,35 @@ def nearest_batch(chunks: DataFrame, queries: DataFrame, k: int = 8, *, ident: s
     right = q.select("dim", every(shards).alias("shard"), place("query_id", blocks).alias("block"), F.lit(1).alias("side"), "query_id", none(kinds[0]).alias("i"), F.col("q").alias("v"))
 
     def tile(rows):
-        import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
-        asked, near = rows.filter(pc.equal(rows["side"], 1)), rows.filter(pc.equal(rows["side"], 0)).sort_by("i")
-        if k <= 0 or not len(asked) or not len(near):
-            return pa.table({"query_id": asked["query_id"][:0], ident: near["i"][:0], "distance": pa.array([], pa.float64())})
-        matrix = lambda t: pc.list_flatten(t["v"].combine_chunks()).to_numpy(zero_copy_only=False).reshape(len(t), -1)
-        a, b = matrix(asked), matrix(near)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            far = np.round(1 - (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))), 12)
-        top = np.argsort(far, axis=1, kind="stable")[:, :k]  # equal distances stay in order of ident
-        who = np.arange(len(asked)).repeat(top.shape[1])
-        return pa.table({"query_id": asked["query_id"].take(pa.array(who)), ident: near["i"].take(pa.array(top.ravel())), "distance": pa.array(np.take_along_axis(far, top, 1).ravel())})
+        return _nearest_of_tile(rows.filter(pc.equal(rows["side"], 0)).sort_by("i"), rows.filter(pc.equal(rows["side"], 1)), k, ident)
 
     return ranked(left.unionByName(right).repartition("dim", "shard", "block").groupBy("dim", "shard", "block").applyInArrow(tile, schema), [F.col("distance"), F.col(ident)], k)
 
 
+def _nearest_of_tile(near, asked, k: int, ident: str):
+    """Arrow table (query_id, ident, distance) of the k nearest of near(i, v), in order of i, to each of asked(query_id, v)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if k <= 0 or not len(asked) or not len(near):
+        return pa.table({"query_id": asked["query_id"][:0], ident: near["i"][:0], "distance": pa.array([], pa.float64())})
+    matrix = lambda t: pc.list_flatten(t["v"].combine_chunks()).to_numpy(zero_copy_only=False).reshape(len(t), -1)
+    a, b = matrix(asked), matrix(near)
+    size, tops, fars = np.sqrt((b * b).sum(1)), [], []
+    for q in (a[i : i + QUERY_PIECE] for i in range(0, len(a), QUERY_PIECE)):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            far = np.round(1 - (q @ b.T) / np.outer(np.sqrt((q * q).sum(1)), size), 12)
+        top = np.argsort(far, axis=1, kind="stable")[:, :k].copy()  # equal distances stay in order of ident; a copy lets the rest go
+        tops.append(top)
+        fars.append(np.take_along_axis(far, top, 1))
+    top, far = np.concatenate(tops), np.concatenate(fars)
+    who = np.arange(len(asked)).repeat(top.shape[1])
+    return pa.table({"query_id": asked["query_id"].take(pa.array(who)), ident: near["i"].take(pa.array(top.ravel())), "distance": pa.array(far.ravel())})
+
+
 def postings(chunks: DataFrame, *, ident: str = "chunk_id", symbol: str = "symbol", content: str = "content") -> DataFrame:
     """(ident, term, band, tf): symbol in band A, split symbol in B, body in D."""
     bands = F.array(
