@@ -31,7 +31,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, keywords: list[str] | N
     def lanes(corpus: DataFrame, asked: DataFrame) -> DataFrame:
         ids = asked.select("query_id")
         dense = retrieval.nearest_batch(corpus.where("embedding IS NOT NULL"), questions.where("q IS NOT NULL").join(ids, "query_id", "left_semi").select("query_id", "q"), recall, ident="chunk_id")
-        sparse = retrieval.keyword_rank(retrieval.postings(corpus), sparse_in.join(ids, "query_id", "left_semi"), recall)
+        sparse = retrieval.keyword_search(corpus, sparse_in.join(ids, "query_id", "left_semi"), recall)
         return retrieval.hybrid(dense, sparse, questions, recall=recall)
 
     prefixes = exclusions_for(keywords or [], exclude)
