@@ -34,9 +34,9 @@ def pages_by_slug(spark, sf_dir):
 def blank_questions(spark, sf_dir):
     """Questions without a content word find nothing; no k, no rows."""
     asked = questions(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 100 == 0, "  the of ").otherwise(F.col("query")))
-    index = retrieval.postings(document_chunks(spark, sf_dir))
-    none = retrieval.keyword_rank(index, asked, 0).unionByName(retrieval.keyword_rank(index, asked, -3))
-    return retrieval.keyword_rank(index, asked, 5).unionByName(none).select("query_id", "rank", "chunk_id")
+    chunks = document_chunks(spark, sf_dir)
+    none = retrieval.keyword_search(chunks, asked, 0).unionByName(retrieval.keyword_search(chunks, asked, -3))
+    return retrieval.keyword_search(chunks, asked, 5).unionByName(none).select("query_id", "rank", "chunk_id")
 
 
 # ---- counts and caches
