@@ -17,6 +17,9 @@ An answer takes three steps, for all questions at once.
 
 So the answers are those of summing every posting (ties to the smaller id), and rows shuffled follow the
 postings that could still win, not questions times chunks.
+
+Questions that little can be skipped for - of many words, as whole texts are, or whose live postings are many beside
+the chunks - have all chunks summed in tiles instead (`keyword_tiles`), which shuffles no pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +29,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.constants import BAND_WEIGHTS
-from .retrieval import query_terms, ranked
+from ..storage import Tables
+from .keyword_tiles import best_in_shards, shards_of
+from .retrieval import query_terms, query_words, ranked
 
 BLOCK = 128
 #: Folders of the stored blocks, by a hash of the term.
 PARTS = 32
+#: Words of a question, and its live postings for each chunk, above which its chunks are summed in tiles.
+MANY_WORDS, MANY_LIVE = 16, 0.25
 
 
 def term_weights(chunks: DataFrame, *, ident: str = "chunk_id", symbol: str = "symbol", content: str = "content") -> DataFrame:
@@ -87,8 +94,8 @@ class StoredIndex:
         kth = ranked(self._scored(best, asked), [F.col("score").desc(), F.col("id")], k).where(F.col("rank") == k)
         return kth.select("query_id", F.col("score").alias("floor"))
 
-    def candidates(self, queries: DataFrame, floors: DataFrame) -> DataFrame:
-        """query_id, slice, id, with repeats: postings that could still win."""
+    def _live(self, queries: DataFrame, floors: DataFrame) -> DataFrame:
+        """query_id, slice, least, ids, weights: blocks whose bound could still win."""
         tops = self.blocks.where("block = 0").select("part", "term", "slice", "top")
         met = self._asked(queries).join(tops, ["part", "term"]).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
         terms = Window.partitionBy("query_id", "slice")
@@ -96,13 +103,40 @@ class StoredIndex:
         open_ = met.withColumn("upto", upto).withColumn("others", F.sum("top").over(terms) - F.col("top")).where("upto >= floor")
         live = open_.select("query_id", "part", "term", "slice", (F.col("floor") - F.col("others")).alias("least"))
         read = self.blocks.select("part", "term", "slice", F.col("top").alias("bound"), "ids", "weights").join(live, ["part", "term", "slice"]).where("bound >= least")
-        return read.select("query_id", "slice", "least", F.inline(F.arrays_zip("ids", "weights"))).where("weights >= least").select("query_id", "slice", F.col("ids").alias("id"))
+        return read.select("query_id", "slice", "least", "ids", "weights")
+
+    def candidates(self, queries: DataFrame, floors: DataFrame) -> DataFrame:
+        """query_id, slice, id, with repeats: postings that could still win."""
+        met = self._live(queries, floors).select("query_id", "slice", "least", F.inline(F.arrays_zip("ids", "weights")))
+        return met.where("weights >= least").select("query_id", "slice", F.col("ids").alias("id"))
+
+    def _tiled(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, id, score, with every stored vector looked at."""
+        chars = self.vectors.agg(F.sum(F.size("terms")) * 12).first()[0]
+        rows = self.vectors.select("id", F.map_values("terms").alias("w"), F.array_join(F.map_keys("terms"), " ").alias("words"))
+        found = best_in_shards(rows, query_words(queries), k, ["id"], shards_of(chars))
+        return ranked(found.withColumnRenamed("total", "score"), [F.col("score").desc(), F.col("id")], k).select("query_id", "rank", "id", "score")
 
     def top_k(self, queries: DataFrame, k: int = 50, *, floors: DataFrame | None = None) -> DataFrame:
         """query_id, rank, id, score of the k best chunks of queries(query_id, query); a chunk with no asked word has none."""
-        floors = self.floors(queries, k) if floors is None else floors
-        pairs = self.candidates(queries, floors).distinct()
-        top = ranked(self._scored(pairs, self._asked(queries)), [F.col("score").desc(), F.col("id")], k)
+        tables = Tables(queries.sparkSession, "asked")
+        queries = tables.cut(queries.select("query_id", "query"))
+        some = lambda kept, how: queries.join(kept, "query_id", how)
+        wide = self._asked(queries).groupBy("query_id").count().where(F.col("count") > MANY_WORDS).select("query_id")
+        short, tops = some(wide, "left_anti"), []
+        if not short.isEmpty():
+            floors = tables.cut(self.floors(short, k) if floors is None else floors)
+            most = MANY_LIVE * self.vectors.count()
+            live = self._live(short, floors).groupBy("query_id").agg(F.sum(F.size("ids")).alias("n"))
+            heavy = tables.cut(live.where(F.col("n") > most).select("query_id"))
+            wide = wide.unionByName(heavy)
+            short = some(wide, "left_anti")
+            pairs = self.candidates(short, floors).distinct()
+            tops.append(ranked(self._scored(pairs, self._asked(short)), [F.col("score").desc(), F.col("id")], k).select("query_id", "rank", "id", "score"))
+        rest = some(wide, "left_semi")
+        if not tops or not rest.isEmpty():
+            tops.append(self._tiled(rest, k))
+        top = tops[0] if len(tops) == 1 else tops[0].unionByName(tops[1])
         return top.select("query_id", "rank", "id", (F.col("score") / 100).alias("score"))
 
     def effort(self, queries: DataFrame, floors: DataFrame) -> DataFrame:

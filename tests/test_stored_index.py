@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from loomwright.operators import retrieval
+from loomwright.operators import retrieval, stored_index
 from loomwright.operators.stored_index import StoredIndex, write
 from loomwright.plans.views import document_chunks, questions
 
@@ -43,3 +43,22 @@ def test_nothing(spark, tmp_path):
     write(chunks, str(tmp_path / "i"))
     asked = spark.createDataFrame([(1, "a"), (2, None)], "query_id long, query string")
     assert StoredIndex(spark, str(tmp_path / "i")).top_k(asked, 5).collect() == []
+
+
+def test_long_questions_pair_nothing(spark, tmp_path, monkeypatch):
+    """Whole texts as questions: chunks are summed in tiles; short questions still skip. Any border gives the same answers."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(n))
+    chunks = spark.createDataFrame([(i, f"pkg.mod{i % 7}", words(rng.randrange(0, 60))) for i in range(300)], CHUNKS)
+    asked = spark.createDataFrame([(i, words(80 if i % 2 else 3)) for i in range(12)], "query_id long, query string")
+    write(chunks, str(tmp_path / "i"), slices=2, block=8)
+    index = StoredIndex(spark, str(tmp_path / "i"))
+    normal = lambda df, ident: sorted((r["query_id"], r["rank"], r[ident], round(r["score"], 6)) for r in df.collect())
+    want = normal(retrieval.keyword_rank(retrieval.postings(chunks), asked, 10), "chunk_id")
+    for many, live in ((16, 0.25), (0, 0.25), (1000, 1000), (1000, 0)):
+        monkeypatch.setattr(stored_index, "MANY_WORDS", many)
+        monkeypatch.setattr(stored_index, "MANY_LIVE", live)
+        assert normal(index.top_k(asked, 10), "id") == want
+    monkeypatch.setattr(stored_index, "MANY_WORDS", 16)
+    plan = index.top_k(asked.where("query_id % 2 = 1"), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "inline" not in plan
