@@ -42,8 +42,9 @@ def split_identifier(symbol: Column) -> Column:
 def keywords(text: Column, limit: int = 12) -> Column:
     """First spellings of distinct tokens of three characters or more, case ignored."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
-    lowered = lower_all(tokens)
-    return F.transform(F.slice(F.array_distinct(lowered), 1, limit), lambda k: F.element_at(tokens, F.array_position(lowered, k).cast("int")))
+    # Lambda variables hold both arrays: the body of a lambda would make them anew for each keyword.
+    first = lambda spelt, low: F.transform(F.slice(F.array_distinct(low), 1, limit), lambda k: F.element_at(spelt, F.array_position(low, k).cast("int")))
+    return F.flatten(F.flatten(F.transform(F.array(tokens), lambda spelt: F.transform(F.array(lower_all(spelt)), lambda low: first(spelt, low)))))
 
 
 def looks_lexical(query: Column) -> Column:

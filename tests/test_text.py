@@ -91,3 +91,11 @@ def test_nearest_rank_is_half_even(spark):
 def test_approachability(spark):
     assert value(spark, scalar.approachability(F.lit(0), F.lit(0), F.lit(True)), q="") == 1.0
     assert abs(value(spark, scalar.approachability(F.lit(10), F.lit(4), F.lit(False)), q="") - 0.5) < 1e-12
+
+
+def test_keywords_read_the_text_once(spark):
+    """The tokens were made anew for each keyword: some thirty passes over a text."""
+    text_once = text.keywords(F.col("q"))
+    tree = spark.createDataFrame([("a",)], "q string").select(text_once)._jdf.queryExecution().analyzed().toString()
+    assert tree.count("regexp_extract_all") == 1
+    assert value(spark, text_once, q=None) == [] and value(spark, text.keywords(F.col("q"), 2), q="one TWO two three") == ["one", "TWO"]
