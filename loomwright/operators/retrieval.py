@@ -180,12 +180,13 @@ def read_refs(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def keyword_overlap(chunks: DataFrame, queries: DataFrame, k: int = 3, *, ident: str = "chunk_id", content: str = "content", order: list[str] | None = None) -> DataFrame:
     """query_id, rank, ident, overlap: most shared words of two letters or more."""
-    pattern = "[A-Za-z_][A-Za-z0-9_]+"
     order = order or [ident]
-    words = chunks.select(*dict.fromkeys([ident, *order]), F.explode(text.token_set(F.col(content), pattern)).alias("term"))
-    asked = queries.select("query_id", F.explode(text.token_set(F.col("query"), pattern)).alias("term"))
-    shared = words.join(asked, "term").groupBy("query_id", *dict.fromkeys([ident, *order])).agg(F.count(F.lit(1)).alias("overlap"))
-    return ranked(shared, [F.col("overlap").desc(), *map(F.col, order)], k)
+    keys = list(dict.fromkeys([*order, ident]))
+    spelt = lambda c: F.array_join(text.token_set(F.col(c), "[A-Za-z_][A-Za-z0-9_]+"), " ").alias("words")
+    chars = chunks.agg(F.sum(F.length(content) + 16)).first()[0]
+    found = best_in_shards(chunks.select(*keys, F.lit(1).alias("w"), spelt(content)), queries.select("query_id", spelt("query")), k, keys, shards_of(chars))
+    shared = found.select("query_id", *dict.fromkeys([ident, *order]), F.col("total").alias("overlap"))
+    return ranked(shared, [F.col("overlap").desc(), *map(F.col, keys)], k)
 
 
 def min_max(df: DataFrame, column: str, out: str, partition: str = "query_id") -> DataFrame:

@@ -63,3 +63,12 @@ def test_nearest_tile_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == 3 * 2048 and peak < 100e6
+
+
+def test_keyword_overlap_moves_no_pairs(spark):
+    """Ties follow the order asked for, nulls first; no row for each question, chunk and shared word."""
+    chunks = spark.createDataFrame([(1, "b", "red blue Red"), (2, "a", "blue RED"), (3, None, "red"), (4, None, "blue red x"), (5, "a", None)], "chunk_id long, path string, content string")
+    asked = spark.createDataFrame([(1, "red blue"), (2, None), (3, "x")], "query_id long, query string")
+    found = retrieval.keyword_overlap(chunks, asked, 3, order=["path"])
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["overlap"]) for r in found.collect()) == [(1, 1, 4, 2), (1, 2, 2, 2), (1, 3, 1, 2)]
