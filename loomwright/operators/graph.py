@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.constants import EDGE_PRIORITY, NEIGHBOUR_ORDER
-from ..storage import shared_folder
+from ..storage import Tables, shared_folder
 
 LOADED = ("calls", "imports", "inherits")
 
@@ -107,13 +107,16 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return wide.agg(*[F.array_sort(F.collect_list(F.when(F.col("edge") == e, F.col("neighbour")))).alias(e) for e in NEIGHBOUR_ORDER])
 
 
-def neighbours(edges: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int = 60) -> DataFrame:
-    """symbol, rank, neighbour, edge, label, external, resolved, total for symbols(symbol).
+def neighbours(edges: DataFrame, chunks: DataFrame, symbols: DataFrame | None = None, limit: int = 60) -> DataFrame:
+    """symbol, rank, neighbour, edge, label, external, resolved, total for symbols(symbol), by default all that edges have.
 
     The limit keeps the first by kind and name; then internal and resolved ones come first.
     """
     limit = max(1, min(limit, 200))
-    near = both_directions(edges).join(symbols, "symbol")
+    near = both_directions(edges)
+    near = near.where("symbol IS NOT NULL") if symbols is None else near.join(symbols, "symbol")
+    # Read twice below, so made once.
+    near = Tables(edges.sparkSession, "neighbours").cut(near)
     w = Window.partitionBy("symbol")
     # Counted apart from the ranking, so that each task keeps only the first rows of a hub before the shuffle.
     totals = near.groupBy("symbol").agg(F.count(F.lit(1)).alias("total"))

@@ -290,8 +290,7 @@ x AS (SELECT n.*, s IS NOT NULL AS resolved, split_part(neighbour, '.', 1) NOT I
 SELECT symbol, neighbour, edge, external, resolved, total, row_number() OVER (PARTITION BY symbol ORDER BY external, NOT resolved, rn) AS rank FROM x""")
 def graph_neighbours(spark, sf_dir):
     e = trade_edges(spark, sf_dir)
-    symbols = e.select(F.explode(F.array("src", "dst")).alias("symbol")).distinct()
-    return graph.neighbours(e, order_chunks(spark, sf_dir), symbols).select("symbol", "neighbour", "edge", "external", "resolved", "total", "rank")
+    return graph.neighbours(e, order_chunks(spark, sf_dir)).select("symbol", "neighbour", "edge", "external", "resolved", "total", "rank")
 
 
 @query("""WITH e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)

@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomwright.operators import graph
 
 
@@ -49,6 +51,15 @@ def test_neighbours(spark, edges, chunks):
     assert [(r["neighbour"], r["edge"], r["resolved"], r["total"]) for r in out] == [("a", "called_by", True, 3), ("b", "called_by", False, 3)]
 
 
+def test_neighbours_of_all(spark, edges, chunks, monkeypatch):
+    """Without symbols all ends of edges are asked for, and both directions are made once."""
+    every = edges.select(F.explode(F.array("src", "dst")).alias("symbol")).distinct()
+    rows = lambda df: sorted(map(str, df.collect()))
+    want, cuts, cut = rows(graph.neighbours(edges, chunks, every, limit=2)), [], graph.Tables.cut
+    monkeypatch.setattr(graph.Tables, "cut", lambda self, df: (cuts.append(df.columns), cut(self, df))[1])
+    assert rows(graph.neighbours(edges, chunks, limit=2)) == want and cuts == [["symbol", "neighbour", "edge"]]
+
+
 def test_adjacency(edges):
     row = {r["symbol"]: r for r in graph.adjacency(edges).collect()}["c"]
     assert row["called_by"] == ["a", "b", "d"] and row["calls"] == []
