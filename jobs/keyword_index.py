@@ -24,7 +24,7 @@ from jobs.settings import defaults, from_command_line, log
 from loomwright.operators import stored_index
 from loomwright.plans import queries as own
 from loomwright.session import get_session
-from loomwright.storage import fresh_folder
+from loomwright.storage import Tables, fresh_folder
 
 
 def run(spark: SparkSession, config: dict) -> dict[str, int]:
@@ -40,12 +40,14 @@ def run(spark: SparkSession, config: dict) -> dict[str, int]:
     texts = documents.where("usable").select(F.col("doc_id").alias("chunk_id"), F.concat(F.coalesce("source", F.lit("")), F.lit(".TextUnit_"), F.col("doc_id").cast("string")).alias("symbol"), F.col("text").alias("content"))
     stored_index.write(texts, f"{root}/index", slices=config["slices"])
     asked = questions.where("usable").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = stored_index.StoredIndex(spark, f"{root}/index").top_k(asked, config["answers"])
+    tables = Tables(spark, "found")
+    found = tables.cut(stored_index.StoredIndex(spark, f"{root}/index").top_k(asked, config["answers"]))  # of known size, so that texts need not move
     quoted = found.join(texts.select(F.col("chunk_id").alias("id"), "content"), "id").join(asked, "query_id")
     answers = quoted.select(
         F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score", F.contains("content", "query").alias("quotes"),
         F.pmod(F.xxhash64("query_id"), F.lit(config["buckets"])).cast("int").alias("bucket"))
     answers.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/answers")
+    tables.drop(found)
     told["answers"] = spark.read.parquet(f"{root}/answers").count()
     out.info("wrote %d answers to %s/answers", told["answers"], root)
     return told

@@ -19,7 +19,8 @@ So the answers are those of summing every posting (ties to the smaller id), and
 postings that could still win, not questions times chunks.
 
 Questions that little can be skipped for - of many words, as whole texts are, or whose live postings are many beside
-the chunks - have all chunks summed in tiles instead (`keyword_tiles`), which shuffles no pairs.
+the chunks - have all chunks summed in tiles instead (`keyword_tiles`), which shuffles no pairs. If at least half of the
+questions have many words, the tiles take the others too.
 """
 
 from __future__ import annotations
@@ -42,28 +43,32 @@ MANY_WORDS, MANY_LIVE = 16, 0.25
 
 def term_weights(chunks: DataFrame, *, ident: str = "chunk_id", symbol: str = "symbol", content: str = "content") -> DataFrame:
     """(id, term, weight): symbol in band A, its parts in band B, body in band D; weights in hundredths."""
-    terms = lambda c: text.lower_all(text.identifiers(F.coalesce(c, F.lit(""))))
+    terms = lambda c: text.identifiers(F.coalesce(c, F.lit("")))
     name = F.col(symbol)
     bands = {"A": terms(name), "B": terms(text.split_identifier(F.coalesce(name, F.lit("")))), "D": terms(F.col(content))}
     rows = F.array(*[F.struct(F.lit(round(BAND_WEIGHTS[b] * 100)).cast("long").alias("w"), t.alias("terms")) for b, t in bands.items()])
     flat = chunks.select(F.col(ident).alias("id"), F.inline(rows)).select("id", "w", F.explode("terms").alias("term"))
-    return flat.groupBy("id", "term").agg(F.sum("w").alias("weight"))
+    return flat.groupBy("id", F.lower("term").alias("term")).agg(F.sum("w").alias("weight"))
 
 
 def write(chunks: DataFrame, root: str, *, slices: int = 8, parts: int = PARTS, block: int = BLOCK, **columns: str) -> None:
     """Writes root/vectors/slice=... (id, terms) and root/blocks/part=... (slice, term, block, top, ids, weights).
 
-    A slice of some 100,000 chunks keeps one list well inside a task.
+    A slice of some 100,000 chunks keeps one list well inside a task. Texts move once, by id, and postings once, by
+    part and slice; everything else happens where they are, and no step is made twice.
     """
-    placed = term_weights(chunks, **columns).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
-    vectors = placed.groupBy("slice", "id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    ident = columns.get("ident", "chunk_id")
+    vectors = term_weights(chunks.repartition(ident), **columns).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    vectors = vectors.select("id", "terms", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
     vectors.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slice").parquet(f"{root}/vectors")
     back = chunks.sparkSession.read.schema(vectors.schema).parquet(f"{root}/vectors").select("slice", "id", F.explode("terms").alias("term", "weight"))
-    place = F.row_number().over(Window.partitionBy("slice", "term").orderBy(F.col("weight").desc(), "id"))
-    cut = back.withColumn("block", F.floor((place - 1) / block).cast("int")).groupBy("slice", "term", "block")
+    dealt = back.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).repartition("part", "slice")
+    # The term leads, as sorts compare the first column before all others.
+    place = F.row_number().over(Window.partitionBy("term", "slice", "part").orderBy(F.col("weight").desc(), "id"))
+    cut = dealt.withColumn("block", F.floor((place - 1) / block).cast("int")).groupBy("term", "slice", "part", "block")
     blocks = cut.agg(F.max("weight").alias("top"), F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "id"))).alias("p"))
-    rows = blocks.select("slice", "term", "block", "top", F.col("p.id").alias("ids"), F.transform("p.w", lambda w: -w).alias("weights"), F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"))
-    rows.repartitionByRange("part", "term", "slice").sortWithinPartitions("part", "term", "slice", "block").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(f"{root}/blocks")
+    rows = blocks.select("slice", "term", "block", "top", F.col("p.id").alias("ids"), F.transform("p.w", lambda w: -w).alias("weights"), "part")
+    rows.sortWithinPartitions("part", "term", "slice", "block").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(f"{root}/blocks")
 
 
 class StoredIndex:
@@ -124,6 +129,9 @@ class StoredIndex:
         some = lambda kept, how: queries.join(kept, "query_id", how)
         wide = self._asked(queries).groupBy("query_id").count().where(F.col("count") > MANY_WORDS).select("query_id")
         short, tops = some(wide, "left_anti"), []
+        n_wide = wide.count()
+        if n_wide and queries.count() <= 2 * n_wide:  # The tiles read all vectors anyway, so they take the short ones along.
+            wide, short = queries.select("query_id").distinct(), queries.limit(0)
         if not short.isEmpty():
             floors = tables.cut(self.floors(short, k) if floors is None else floors)
             most = MANY_LIVE * self.vectors.count()

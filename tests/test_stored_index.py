@@ -62,3 +62,20 @@ def test_long_questions_pair_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stored_index, "MANY_WORDS", 16)
     plan = index.top_k(asked.where("query_id % 2 = 1"), 10)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "inline" not in plan
+
+
+def test_texts_and_postings_move_once(spark, tmp_path):
+    """Writing deals texts by id and postings by part and slice, and sorts no postings for a sample; the tiles take short questions along."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"W{rng.randrange(90)}" for _ in range(n))
+    chunks = spark.createDataFrame([(i, f"pkg.mod{i % 7}", words(40)) for i in range(200)], CHUNKS)
+    spark.sparkContext.setJobGroup("index", "writing")
+    write(chunks, str(tmp_path / "i"), slices=2, block=8)
+    spark.sparkContext.setJobGroup("other", "reading")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("index")) <= 4
+    asked = spark.createDataFrame([(i, words(80 if i % 3 else 3)) for i in range(12)], "query_id long, query string")
+    got = StoredIndex(spark, str(tmp_path / "i")).top_k(asked, 10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Union" not in plan.split("FlatMapGroupsInArrow")[0]
+    normal = lambda df, ident: sorted((r["query_id"], r["rank"], r[ident], round(r["score"], 6)) for r in df.collect())
+    assert normal(got, "id") == normal(retrieval.keyword_rank(retrieval.postings(chunks), asked, 10), "chunk_id")
