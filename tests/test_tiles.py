@@ -72,3 +72,16 @@ def test_keyword_overlap_moves_no_pairs(spark):
     found = retrieval.keyword_overlap(chunks, asked, 3, order=["path"])
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["overlap"]) for r in found.collect()) == [(1, 1, 4, 2), (1, 2, 2, 2), (1, 3, 1, 2)]
+
+
+def test_blocks_of_questions_take_turns(spark, monkeypatch):
+    """With several blocks, each turn's rows are k a question, and the turns together give what one block gives."""
+    docs = spark.createDataFrame([(i, 10, f"a b{i % 3} c{i % 7}") for i in range(60)], "id long, w int, words string")
+    queries = spark.createDataFrame([(q, f"a b{q % 3} c{q % 5} a") for q in range(9)] + [(50, ""), (51, None)], "query_id long, words string")
+    rows, cut = [], keyword_tiles.Tables.cut
+    monkeypatch.setattr(keyword_tiles.Tables, "cut", lambda self, df: (out := cut(self, df), rows.append((df.columns, out.count())))[0])
+    found = keyword_tiles.best_in_shards(docs, queries, 4, ["id"], 5, block_rows=4)
+    turns = [n for columns, n in rows if columns == ["query_id", "id", "total"]]
+    assert len(turns) == 3 and sum(turns) == 9 * 4 == found.count()
+    asked = [(r["query_id"], r["words"]) for r in queries.where("words <> ''").collect()]
+    assert sorted(map(tuple, found.collect())) == _best([tuple(r) for r in docs.collect()], asked, 4)
